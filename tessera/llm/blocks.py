@@ -125,7 +125,7 @@ def _offsets(col: pa.Array) -> np.ndarray:
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """A long column; null as the smallest long."""
-    return batch.column(batch.schema.get_field_index(name)).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.column(batch.schema.get_field_index(name)).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
 def hashed(split: list[list[bytes]], cache: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -257,3 +257,45 @@ class Lookup:
             for c in self.columns:
                 out[c][part] = own[c][pos]
         return out
+
+
+class Pending:
+    """Counted keys of a task, put together over several chunks before they are dealt out."""
+
+    def __init__(self, n_shards: int, first: int = 0, most: int = 3_000_000):
+        self.n, self.first, self.most = n_shards, first, most
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+        self.parts.append(tally(keys, counts))
+        return self.flush() if sum(len(k) for k, _ in self.parts) > self.most else []
+
+    def flush(self) -> list[tuple[int, bytes]]:
+        keys, counts = (np.concatenate([np.empty(0, t), *x]) for t, x in zip((U64, np.int64), zip(*self.parts, strict=True) if self.parts else ([], []), strict=True))
+        self.parts = []
+        keys, counts = tally(keys.astype(U64), counts)
+        return [(s + self.first, x) for s, x in cut(keys, self.n, lambda a, b: keys[a:b].tobytes() + counts[a:b].astype("<u4").tobytes())]
+
+
+def merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and total counts of one shard's payloads."""
+    keys = np.concatenate([np.frombuffer(x, U64, len(x) // 12) for x in parts])
+    counts = np.concatenate([np.frombuffer(x, "<u4", len(x) // 12, len(x) // 12 * 8) for x in parts])
+    return tally(keys, counts.astype(np.int64))
+
+
+def kept_counts(mapped_rows: DataFrame, folder: str, n_shards: int, least: int) -> Lookup:
+    """Add up counted keys by shard; those with a total of ``least`` or more become a Lookup with column c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = []
+        for s, parts in gathered(batches).items():
+            keys, counts = merged(parts)
+            some = counts >= least
+            Lookup.save(folder, s, keys[some], np.minimum(counts[some], 0xFFFFFFFF).astype("<u4"))
+            sizes.append((s, int(some.sum())))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sizes], pa.int32()), pa.array([x[1] for x in sizes], pa.int64())], ["shard", "n"])
+
+    # one small row for each shard
+    sizes = {r.shard: r.n for r in mapped_rows.repartition(n_shards, "shard").mapInArrow(run, "shard int, n long").collect()}
+    return Lookup(folder, sizes, n_shards, {"c": "<u4"})

@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.repeats import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.similarity import similar_groups
+
+    return similar_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.contamination import decontaminate
 
