@@ -219,6 +219,8 @@ class Lookup:
 
     def __init__(self, folder: str, sizes: dict[int, int], n_shards: int, columns: dict[str, str]):
         self.folder, self.sizes, self.n, self.columns = folder, sizes, n_shards, columns
+        self.base = np.cumsum(np.r_[0, [sizes.get(s, 0) for s in range(n_shards)]])
+        self.total = 0
         self._open: dict[int, dict[str, np.ndarray]] = {}
 
     def __getstate__(self):
@@ -239,8 +241,8 @@ class Lookup:
         return self._open[s]
 
     def find(self, keys: np.ndarray, shard: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        """For each key whether it is there (found) and its values (0 where it isn't)."""
-        out = {"found": np.zeros(len(keys), bool)} | {c: np.zeros(len(keys), k) for c, k in self.columns.items()}
+        """For each key whether it is there (found), its rank among all keys and its values (0 where it isn't)."""
+        out = {"found": np.zeros(len(keys), bool), "rank": np.zeros(len(keys), np.int64)} | {c: np.zeros(len(keys), k) for c, k in self.columns.items()}
         where = shard_of(keys, self.n) if shard is None else shard
         order = np.lexsort((keys, where))
         at = np.searchsorted(where[order], np.arange(self.n + 1))
@@ -254,6 +256,7 @@ class Lookup:
             hit = own["key"][pos] == q
             part, pos = part[hit], pos[hit]
             out["found"][part] = True
+            out["rank"][part] = self.base[s] + pos
             for c in self.columns:
                 out[c][part] = own[c][pos]
         return out
@@ -293,9 +296,11 @@ def kept_counts(mapped_rows: DataFrame, folder: str, n_shards: int, least: int)
             keys, counts = merged(parts)
             some = counts >= least
             Lookup.save(folder, s, keys[some], np.minimum(counts[some], 0xFFFFFFFF).astype("<u4"))
-            sizes.append((s, int(some.sum())))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sizes], pa.int32()), pa.array([x[1] for x in sizes], pa.int64())], ["shard", "n"])
+            sizes.append((s, int(some.sum()), int(counts[some].sum())))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in sizes], pa.int64()) for j in range(3)], ["shard", "n", "total"])
 
     # one small row for each shard
-    sizes = {r.shard: r.n for r in mapped_rows.repartition(n_shards, "shard").mapInArrow(run, "shard int, n long").collect()}
-    return Lookup(folder, sizes, n_shards, {"c": "<u4"})
+    rows = mapped_rows.repartition(n_shards, "shard").mapInArrow(run, "shard long, n long, total long").collect()
+    out = Lookup(folder, {r.shard: r.n for r in rows}, n_shards, {"c": "<u4"})
+    out.total = sum(r.total for r in rows)
+    return out

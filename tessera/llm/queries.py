@@ -19,6 +19,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngrams import scored_corpus
+
+    out = scored_corpus(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.repeats import remove_repeats
 
