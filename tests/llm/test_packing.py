@@ -19,6 +19,17 @@ def plain(text):
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def test_coder_gives_the_ids_of_the_library():
+    from tessera.llm.packing import Encoder
+
+    own, rng = Encoder(PATH), np.random.default_rng(4)
+    assert own.coder
+    odd = list("ab zé\u00a0\u0085\u2028\t\n\r'\u0301١٢½日😀.,<|\x1c\x00") + ["'ll", "'s", "<|endoftext|>"]
+    for _ in range(300):
+        t = "".join(rng.choice(odd, rng.integers(1, 40)))
+        assert np.frombuffer(own(t), "<u4").tolist() == plain(t)[:-1]
+
+
 def frame(spark):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, sequence_id string, offset int")
 
