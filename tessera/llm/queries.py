@@ -19,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.ngrams import scored_corpus
 
@@ -46,6 +52,14 @@ def op6_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import digests, examples
+
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return digests(examples(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.contamination import decontaminate
 
