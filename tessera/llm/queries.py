@@ -39,6 +39,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import find_pii, summary
+
+    return summary(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.repeats import remove_repeats
 
