@@ -66,6 +66,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(examples(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licences import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.contamination import decontaminate
 
