@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import blocks
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
 
 
 def _split(raw: list[bytes]) -> list[list[bytes]]:
@@ -67,11 +68,16 @@ def _spread(at: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array of item ids).
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array of item ids).
 
     Null and empty texts have no words and no hits; rows that repeat a doc_id each give a row; an empty
     benchmark hits nothing; items without words have no window.
     """
+    return with_hits(_texts(docs, "doc_id").withColumnRenamed("id", "doc_id"), items, size).drop("text")
+
+
+def with_hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """docs (doc_id, text as string and any others) with what decontaminate() finds for each row."""
     spark = docs.sparkSession
     folder = blocks.shared_dir(spark, "contamination")
     found = blocks.written(item_windows(items, size), f"{folder}/windows")
@@ -157,11 +163,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
             lists = [sorted("" if i == np.iinfo(np.int64).min else str(i) for i in s) for s in items]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(counts), pa.array(n_hit.astype(np.int64)), pa.array([len(s) for s in lists], pa.int64()),
+                    *part.columns, pa.array(counts), pa.array(n_hit.astype(np.int64)), pa.array([len(s) for s in lists], pa.int64()),
                     pa.array([hashlib.sha256(",".join(s).encode()).hexdigest() for s in lists], pa.string()), pa.array(n_hit > 0),
                     pa.array([sorted(s) for s in items], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+                [*part.schema.names, *found_names],
             )
 
-    return _texts(docs, "doc_id").mapInArrow(match, RESULT + ", items array<long>")
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(FOUND).fields])
+    found_names = [f.name for f in schema.fields[len(docs.columns) :]]
+    return docs.mapInArrow(match, schema)

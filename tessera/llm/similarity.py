@@ -274,3 +274,29 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, block: int =
     out = own.join(groups, own.rep == groups.node, "left")
     id_ = lambda c: F.when(c != F.lit(int(NONE)), c)
     return out.select(id_(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_(F.coalesce("component", "rep")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its group.
+
+    The ids that go are sorted arrays in the shared folder, so texts are not shuffled.  Rows that repeat a doc_id
+    stay or go together; rows without a doc_id stay.
+    """
+    spark = docs.sparkSession
+    folder, n = blocks.shared_dir(spark, "similarity-gone"), blocks.shards(spark)
+    gone = similar_groups(docs, k, percent).filter("component_id < doc_id or (component_id is null and doc_id is not null)").select("doc_id")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending = blocks.Pending(n)
+        for batch in batches:
+            if rows := pending.add(blocks.mix(blocks.column(batch, "doc_id").view("u8"))):
+                yield blocks.payload(rows)
+        yield blocks.payload(pending.flush())
+
+    ids = blocks.kept_counts(gone.mapInArrow(keys, blocks.PAYLOAD), f"{folder}/ids", n, 1)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~ids.find(blocks.mix(blocks.column(batch, "doc_id").view("u8")))["found"]))
+
+    return docs.mapInArrow(keep, docs.schema)

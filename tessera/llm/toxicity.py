@@ -18,12 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import blocks
 
-SCORES = "doc_id long, held_out boolean, score double, predicted int"
-
-
 @dataclass(frozen=True)
 class Machine:
     """terms (sorted hashes), weight and factors of each, and the bias."""
@@ -133,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, features: int = 4096, most: int =
     return Machine(picked, np.frombuffer(one.w), np.frombuffer(one.v).reshape(len(picked), -1), one.b)
 
 
-def toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Null and empty texts get the score of no terms; a null doc_id is not held out."""
+def with_scores(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """docs (text as string and any others) with the score of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = blocks.Words()
@@ -147,9 +145,13 @@ def toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3, folds: i
                 some = machine.terms[at] == h
                 pair = np.unique(np.repeat(np.arange(len(counts)), counts)[some] * len(machine.terms) + at[some])
                 rows, cols = pair // len(machine.terms), pair % len(machine.terms)
-            score = machine.score(rows, cols, len(counts))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.score(rows, cols, len(counts)))], [*part.schema.names, name])
 
-    out = _texts(docs).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
+    """Per row: doc_id, held_out, score, predicted. Null and empty texts get the score of no terms; a null doc_id is not held out."""
+    out = with_scores(_texts(docs), machine).drop("text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
