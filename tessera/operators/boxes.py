@@ -62,6 +62,8 @@ def nms(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id", mode:
     if mode == "best":
         return best_box(boxes, id_col)
 
+    names = boxes.columns
+
     def kept(rows: list) -> list:
         out = []
         for r in rows:
@@ -84,9 +86,9 @@ def nms(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id", mode:
                     rows = []
                 image = r.image
                 rows.append(r)
-            yield pd.DataFrame(done, columns=batch.columns)
+            yield pd.DataFrame(done, columns=names)
         if rows:
-            yield pd.DataFrame(kept(rows), columns=boxes.columns)
+            yield pd.DataFrame(kept(rows), columns=names)
 
     n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = boxes.repartition(n, "image").sortWithinPartitions("image", F.desc("score"), id_col)

@@ -131,12 +131,12 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "image_id", first:
     The order must be total, so that a repeated task deals the same rows.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
-    starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_start"))
-    w = Window.partitionBy("_p").orderBy(*order)
-    return cut.withColumn("_i", F.row_number().over(w)).join(F.broadcast(starts), "_p").withColumn(name, (F.col("_start") + F.col("_i") + (first - 1)).cast("long")).drop("_p", "_i", "_start")
+    cut = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    sizes = cut.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
+    w = Window.partitionBy("__p").orderBy(*order)
+    return cut.withColumn("__i", F.row_number().over(w)).join(F.broadcast(starts), "__p").withColumn(name, (F.col("__start") + F.col("__i") + (first - 1)).cast("long")).drop("__p", "__i", "__start")
 
 
 def next_id(df: DataFrame, col: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """All registered queries of the package."""
 
-from tessera.plans import reports
+from tessera.plans import reports, rows
 
-QUERIES = {**reports.QUERIES}
+QUERIES = {**reports.QUERIES, **rows.QUERIES}
