@@ -225,4 +225,4 @@ def content_columns(content: Column, path: Column, large: int = 5 << 20) -> list
     """sha256, base64 size and whether content is stored apart: images and what is larger than ``large`` bytes."""
     data = content.cast("binary")
     apart = extension(path).isin(".jpg", ".jpeg", ".png") | (F.octet_length(data) > large)
-    return [F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size"), F.length(F.base64(data)).cast("long").alias("payload_chars"), apart.alias("is_large")]
+    return [F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size"), (F.ceil(F.octet_length(data) / 3) * 4).cast("long").alias("payload_chars"), apart.alias("is_large")]
