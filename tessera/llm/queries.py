@@ -75,7 +75,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.contamination import decontaminate
 
-    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
