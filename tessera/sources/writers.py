@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def csv_table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """CSV with a header in the given order, nulls as blank cells. Write to a new path, never onto the input."""
-    df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def json_records(df: DataFrame, path: str, append: bool = False) -> None:
