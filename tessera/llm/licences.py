@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import blocks
+
 #: Notices by licence id.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -29,7 +31,11 @@ TEMPLATES = {
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-COMMON = {"a", "and", "are", "for", "form", "in", "is", "of", "or", "source", "subject", "terms", "the", "this", "to", "under", "use", "with", "without", "work"}
+#: Words of everyday text (German "mit" too), the commonest first.
+COMMON = [
+    "the", "of", "and", "to", "in", "is", "for", "this", "a", "with", "by", "or", "mit", "are", "use", "under", "work", "form", "without", "3", "v", "nc", "source", "terms",
+    "subject", "2.0", "4.0", "version", "code", "general", "forms", "public",
+]
 WORD = "[a-z0-9.]*[a-z0-9]"
 
 
@@ -53,14 +59,15 @@ def needed(vectors: dict[str, dict[str, float]], least: float) -> set[str]:
     """Words of which a line must have one to reach the cosine ``least`` with any template.
 
     Those left out of a template have together a length under ``least``, so they alone cannot reach it.
-    Common words are left out first.
+    Common words are left out first, then those of little weight.
     """
     out: set[str] = set()
     for v in vectors.values():
         left = 0.0
-        for w in sorted(v, key=lambda w: (w not in COMMON, v[w], w)):
-            left += v[w] ** 2
-            if left >= least**2:
+        for w in sorted(v, key=lambda w: (COMMON.index(w) if w in COMMON else len(COMMON), v[w], w)):
+            if left + v[w] ** 2 < least**2:
+                left += v[w] ** 2
+            else:
                 out.add(w)
     return out
 
@@ -90,10 +97,16 @@ def own_licence(files: DataFrame, templates: dict[str, str] | None = None, least
     idf, vectors = weights(templates or TEMPLATES)
     rare, idf_t = math.log(1 + len(vectors)) + 1, _table(idf)
     tables = {k: _table({w: idf[w] * x for w, x in v.items()}) for k, v in sorted(vectors.items())}
-    cue = "|".join(sorted(re.escape(w) for w in needed(vectors, least)))
+    must = sorted(needed(vectors, least))
+
+    def any_of(low: Column) -> Column:
+        """Whether the text may hold such a word: long ones anywhere, short ones on their own."""
+        alone = lambda w: F.rlike(low, F.lit(f"{re.escape(w)}(?<![a-z0-9.]{re.escape(w)})(?![a-z0-9])"))
+        tests = [F.contains(low, F.lit(w)) & (F.lit(True) if len(w) > 3 else alone(w)) for w in sorted(must, key=len, reverse=True)]
+        return reduce(lambda a, b: a | b, tests)
 
     def scored(line: Column) -> Column:
-        w = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+        w = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
         zero = F.lit(0.0)
         weight = lambda x: F.coalesce(idf_t[x], F.lit(rare))
         ends = lambda a: a["s"] + F.when(a["n"] > 0, (a["n"] * weight(a["w"])) * (a["n"] * weight(a["w"]))).otherwise(zero)
@@ -108,16 +121,16 @@ def own_licence(files: DataFrame, templates: dict[str, str] | None = None, least
         return F.struct(F.coalesce(F.round(top["score"], 6), F.lit(0.0)).alias("score"), top["licence"].alias("licence"), s["n"].alias("n"))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    few = F.filter(F.split(text, "\n"), lambda x: F.rlike(F.lower(x), F.lit(rf"(?:^|[^a-z0-9])(?:{cue})(?:$|[^a-z0-9])")))
-    some = F.when(F.rlike(F.lower(text), F.lit(rf"(?:^|[^a-z0-9])(?:{cue})(?:$|[^a-z0-9])")), few).otherwise(F.array().cast("array<string>"))
-    out = files.withColumn("_l", some).withColumn("_l", F.transform("_l", scored)).withColumn("_l", F.filter("_l", lambda s: s["n"] > 0))
+    few = F.filter(F.split("_low", "\n"), any_of)
+    some = F.when(F.col("_may"), few).otherwise(F.array().cast("array<string>"))
+    out = files.withColumn("_low", F.lower(text)).withColumn("_may", any_of(F.col("_low"))).withColumn("_l", some).withColumn("_l", F.transform("_l", scored)).withColumn("_l", F.filter("_l", lambda s: s["n"] > 0))
     out = out.withColumn("_l", F.transform("_l", best))
     top = F.aggregate("_l", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("licence"), F.lit(0).alias("n")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
     out = out.withColumn("_b", top)
     marked = F.aggregate("_l", F.lit(0), lambda a, x: a + F.when(x["score"] >= least, x["n"]).otherwise(0))
     out = out.withColumn("score", F.col("_b.score")).withColumn("licence", F.when(F.col("_b.score") >= least, F.col("_b.licence")))
     all_words = F.when(F.col("licence").isNotNull(), F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))).otherwise(0)
-    return out.withColumn("is_file", F.col("licence").isNotNull() & (marked >= whole * all_words)).drop("_l", "_b")
+    return out.withColumn("is_file", F.col("licence").isNotNull() & (marked >= whole * all_words)).drop("_l", "_b", "_low", "_may")
 
 
 def inherited(scanned: DataFrame) -> DataFrame:
@@ -140,4 +153,5 @@ def inherited(scanned: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, path, licence, score, is_file, effective, from_dir."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path_of(docs).alias("path"), "text")
-    return inherited(own_licence(rows).drop("text")).select("doc_id", "path", "licence", "score", "is_file", "effective", "from_dir")
+    scanned = blocks.written(own_licence(rows).drop("text"), f"{blocks.shared_dir(docs.sparkSession, 'licences')}/own")
+    return inherited(scanned).select("doc_id", "path", "licence", "score", "is_file", "effective", "from_dir")
