@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -68,8 +68,8 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024) -> DataFrame:
-    """Pieces of each document: doc_id, piece, start, length, ids_crc32.
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024, with_ids: bool = False) -> DataFrame:
+    """Pieces of each document: doc_id, piece, start, length, ids_crc32; with_ids adds ids (array<int>).
 
     A null text counts as empty (one piece with the end id).  Rows that repeat a doc_id are cut each on its own.
     """
@@ -83,12 +83,15 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024)
                 ids = encode(text.decode()) + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % length or length, n + 1, length)]
-                rows += [(doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    own = ids[4 * a : 4 * b]
+                    rows.append((doc, i, a, b - a, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype("i4")] if with_ids else [])))
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    schema = PIECES + ", ids array<int>" * with_ids
+    names, kinds = [x.split()[0] for x in schema.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 class BestFit:
@@ -124,7 +127,7 @@ class BestFit:
 
 
 def pack(cut: DataFrame, length: int = 1024, open_bins: int = 4096) -> DataFrame:
-    """Place pieces: their columns with sequence_id and offset.
+    """Place pieces: their columns (ids too, if there) with sequence_id and offset.
 
     sequence_id is the partition's number times 2**40 plus the bin's number in it.  A partition holds
     nothing but small rows and is sorted, so a repeated task gives the same places.  No pieces: no rows.
@@ -133,12 +136,13 @@ def pack(cut: DataFrame, length: int = 1024, open_bins: int = 4096) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, bins = TaskContext.get().partitionId() << 40, BestFit(length, open_bins)
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(3).to_pylist()]
+            placed = [bins.place(n) for n in batch.column(batch.schema.get_field_index("length")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
                 [*batch.schema.names, "sequence_id", "offset"],
             )
 
+    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.repartition(n, "doc_id", "piece", "ids_crc32")
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32").mapInArrow(run, PACKED)
+    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32").mapInArrow(run, schema)

@@ -56,6 +56,17 @@ def test_pieces_and_places(spark):
         assert at <= 1024
 
 
+def test_sequences_hold_the_ids(spark):
+    from tessera.llm.packing import pack, pieces
+
+    docs = frame(spark)
+    got = defaultdict(dict)
+    for r in pack(pieces(docs, PATH, with_ids=True)).collect():
+        assert len(r.ids) == r.length
+        got[r.doc_id][r.piece] = r.ids
+    assert all(sum((own[i] for i in sorted(own)), []) == plain(TEXTS[d]) for d, own in got.items()) and len(got) == len(TEXTS)
+
+
 def test_empty_table(spark):
     from tessera.llm.packing import pack, pieces
 
