@@ -300,7 +300,7 @@ def kept_counts(mapped_rows: DataFrame, folder: str, n_shards: int, least: int)
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in sizes], pa.int64()) for j in range(3)], ["shard", "n", "total"])
 
     # one small row for each shard
-    rows = mapped_rows.repartition(n_shards, "shard").mapInArrow(run, "shard long, n long, total long").collect()
+    rows = mapped_rows.repartitionById(n_shards, "shard").mapInArrow(run, "shard long, n long, total long").collect()
     out = Lookup(folder, {r.shard: r.n for r in rows}, n_shards, {"c": "<u4"})
     out.total = sum(r.total for r in rows)
     return out

@@ -188,7 +188,7 @@ def train(texts: DataFrame, order: int = 2) -> Model:
 
     rows = texts.mapInArrow(top, blocks.PAYLOAD)
     for m in range(order, 0, -1):
-        rows = blocks.written(rows.repartition(n, "shard").mapInArrow(level(m, "level"), blocks.PAYLOAD), f"{folder}/passed-{m}")
+        rows = blocks.written(rows.repartitionById(n, "shard").mapInArrow(level(m, "level"), blocks.PAYLOAD), f"{folder}/passed-{m}")
         stats = [np.frombuffer(bytes(r.payload), np.int64).tolist() for r in rows.filter("shard = -1").collect()]  # a few numbers for each shard
         rows = rows.filter("shard >= 0")
         sums = np.array([x[3:] for x in stats] or [[0] * 6], np.int64).sum(0).tolist()

@@ -193,7 +193,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, block: int =
             sizes.append((s, int(some.sum())))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sizes], pa.int32()), pa.array([x[1] for x in sizes], pa.int64())], ["shard", "n"])
 
-    made = texts.mapInArrow(first_pass, blocks.PAYLOAD).repartition(n_shards, "shard").mapInArrow(merge, "shard int, n long")
+    made = texts.mapInArrow(first_pass, blocks.PAYLOAD).repartitionById(2 * n_shards, "shard").mapInArrow(merge, "shard int, n long")
     sizes = {r.shard: r.n for r in made.collect()}  # two small rows for each shard
     counts = blocks.Lookup(f"{folder}/counts", {s: x for s, x in sizes.items() if s < n_shards}, n_shards, {"c": "<u4"})
     classes = blocks.Lookup(f"{folder}/classes", {s - n_shards: x for s, x in sizes.items() if s >= n_shards}, n_shards, {"rep": "i8"})
