@@ -50,6 +50,27 @@ def by_cardinality(df: DataFrame, key: str, many: int = 3, one: int = 2) -> Data
     return n.filter("n > 1").orderBy(key).limit(many).unionByName(n.filter("n = 1").orderBy(key).limit(one))
 
 
+def keyword_sample(df: DataFrame, col: str, token: str, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows, in an order, whose text holds the token in any case."""
+    return df.filter(F.contains(F.lower(F.col(col)), F.lit(token.lower()))).orderBy(*order).limit(n)
+
+
+def first_existing(df: DataFrame, found: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows by key whose key exists."""
+    return df.join(found.select(key), key, "left_semi").orderBy(key).limit(n)
+
+
+def present_count(df: DataFrame, col: str) -> DataFrame:
+    """One row: rows in which the column is neither null nor blank, and all rows."""
+    return df.agg(F.count_if(F.trim(F.col(col).cast("string")) != "").alias("present"), F.count("*").alias("n"))
+
+
+def children(df: DataFrame, path: str, prefix: str) -> DataFrame:
+    """Rows whose path starts with the prefix, with its depth in parts and its first part."""
+    parts = F.split(F.col(path), "/")
+    return df.filter(F.startswith(F.col(path), F.lit(prefix))).select("*", F.size(parts).alias("depth"), parts[0].alias("name"))
+
+
 def required_present(required: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Each required key with status PASS or FAIL."""
     have = found.select(key).distinct().withColumn("_have", F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import crop_rows
+from tessera.functions.numbers import crop_rows, is_recent
 from tessera.functions.text import extension
 from tessera.operators import boxes, features, graph, splits, tables, workplan
 from tessera.plans.base import on, table
@@ -314,6 +314,26 @@ QUERIES = {
         """WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
  b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch_ms(min(ts)) AS start_ms, count(*) AS n FROM b GROUP BY user_id, s""",
     ),
+    "keyword_sample": (
+        on("part")(lambda p: tables.keyword_sample(p.select("p_partkey", "p_name"), "p_name", "A", ["p_name", "p_partkey"], 20)),
+        "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') ORDER BY p_name, p_partkey LIMIT 20",
+    ),
+    "existing_sample": (
+        on("orders", "lineitem")(lambda o, l: tables.first_existing(o.select("o_orderkey"), l.filter("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", 25)),
+        "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2) ORDER BY 1 LIMIT 25",
+    ),
+    "field_present": (
+        on("documents", "labels")(lambda d, l: tables.present_count(d.join(l, "doc_id", "left"), "toxic")),
+        "SELECT count(toxic) AS present, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    ),
+    "direct_children": (
+        on("pages")(lambda p: tables.children(p.select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), "page_id"), "path", "blog.").select("page_id", "depth", "name")),
+        """SELECT page_id, len(string_split(p, '/')) AS depth, split_part(p, '/', 1) AS name FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages) WHERE starts_with(p, 'blog.')""",
+    ),
+    "recent_claims": (
+        on("events")(lambda e: e.filter(is_recent(F.col("ts").cast("timestamp"), F.lit("2024-01-15 12:00:00").cast("timestamp"), 86400) & (F.col("ts") <= F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))).select("event_id")),
+        "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-14 12:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00'",
+    ),
     "file_extensions": (
         on("pages")(lambda p: p.select(extension(F.col("url")).alias("ext")).groupBy("ext").agg(F.count("*").alias("n"))),
         r"SELECT lower(regexp_extract(split_part(url, '/', -1), '(\.[^.]+)$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1",
