@@ -30,12 +30,16 @@ CHUNK_BYTES = 4 << 20
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``; below one temporary folder only where that is unset, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        top = _OWN[0]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
