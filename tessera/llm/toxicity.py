@@ -1,6 +1,6 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A text is the set of its terms (hashed to 64 bits).  The machine's score is a bias, a weight for each term
+A text is the set of its terms: words and their beginnings, hashed to 64 bits.  The machine's score is a bias, a weight for each term
 and, for each pair of terms in a text, the product of their factors, so that a pair such as an insult and
 a group's name can weigh more than both alone.  The ``features`` terms that tell the classes apart best in
 the training rows take part; they are chosen in Spark from all terms of these rows.
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,8 +70,24 @@ def fit(rows: np.ndarray, cols: np.ndarray, label: np.ndarray, size: int, k: int
     return w, v, b
 
 
-def _terms(raw: list[bytes], cache: blocks.Words) -> tuple[np.ndarray, np.ndarray]:
-    return blocks.hashed([x.translate(blocks.ALNUM).split() for x in raw], cache)
+#: Bytes of the word beginnings that are terms beside the word: they meet inflected and compound forms.
+STARTS = (3, 4, 6)
+
+
+class Terms(blocks.Words):
+    """word -> the hashes of its terms, 8 bytes each; a word that is shorter than a beginning stands for it."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > blocks.CACHE_WORDS // 2:
+            self.clear()
+        parts = [word, *(b"^" + word[:n] if len(word) > n else word for n in STARTS)]
+        got = self[word] = b"".join(xxhash.xxh3_64_intdigest(x).to_bytes(8, "little") for x in parts)
+        return got
+
+
+def _terms(raw: list[bytes], cache: Terms) -> tuple[np.ndarray, np.ndarray]:
+    h, counts = blocks.hashed([x.translate(blocks.ALNUM).split() for x in raw], cache)
+    return h, counts * (1 + len(STARTS))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -92,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = 4096, most: int =
     rows = _texts(docs).join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = blocks.Words()
+        cache = Terms()
         for part, raw in blocks.chunks(batches):
             h, counts = _terms(raw, cache)
             sets, first = [], 0
@@ -135,7 +152,7 @@ def with_scores(docs: DataFrame, machine: Machine, name: str = "score") -> DataF
     """docs (text as string and any others) with the score of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = blocks.Words()
+        cache = Terms()
         for part, raw in blocks.chunks(batches):
             h, counts = _terms(raw, cache)
             rows, cols = np.empty(0, np.int64), np.empty(0, np.int64)
