@@ -166,7 +166,8 @@ def image_type(c: Column) -> Column:
     return F.when(F.contains(low, F.lit("hero")), "hero").when(F.contains(low, F.lit("gallery")), "gallery").otherwise("other")
 
 
-ROOTS = ["data", "indolep_model", "scripts", "docs", "logs", ".git", ".github", ".cache"]
+#: Folders at the root that hold no items.
+ROOTS = ["data", "scripts", "docs", "logs", ".git", ".github", ".cache"]
 
 
 def rewrite_path(c: Column, roots: list[str] = ROOTS, files: tuple[str, ...] = ("README.md", ".gitattributes", ".gitignore")) -> Column:
