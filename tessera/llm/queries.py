@@ -69,7 +69,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licences import scan
 
-    return scan(_table(spark, sf_dir, "documents"))
+    return scan(_table(spark, sf_dir, "documents"), wide=True)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
