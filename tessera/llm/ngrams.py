@@ -134,7 +134,7 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return min(max(1 - 2 * y * n2 / n1, 0.05), 1.0), min(max(2 - 3 * y * n3 / n2, 0.05), 2.0), min(max(3 - 4 * y * n4 / n3, 0.05), 3.0) if n3 else 1.5
 
 
-def train(texts: DataFrame, order: int = 2) -> Model:
+def train(texts: DataFrame, order: int = 3) -> Model:
     """Count a model of this order over all texts (column text; null: empty) and store it in the shared folder."""
     spark = texts.sparkSession
     folder, n = blocks.shared_dir(spark, "ngrams"), blocks.shards(spark)
@@ -222,7 +222,7 @@ def held_out(folds: int, fold: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
-def scored_corpus(docs: DataFrame, order: int = 2, folds: int = 7, fold: int = 2) -> DataFrame:
+def scored_corpus(docs: DataFrame, order: int = 3, folds: int = 7, fold: int = 2) -> DataFrame:
     """Learn from the rows outside the held-out fold and score all rows."""
     model = train(docs.filter(~held_out(folds, fold)), order)
     return score(docs, model).withColumn("held_out", held_out(folds, fold)).withColumn("train_tokens", F.lit(model.words.total).cast("long"))

@@ -71,3 +71,13 @@ def test_empty_training(spark):
     held = spark.createDataFrame([(i, "a b") for i in range(60)], "doc_id long, text string")
     rows = scored_corpus(held).collect()
     assert any(r.held_out for r in rows) and all(r.n_tokens == 3 and r.score < 0 for r in rows)
+
+
+def test_registered_query_sees_two_words_back(spark, tmp_path):
+    """After 'b', only the word before it says whether 'x' or 'y' comes: a bigram model scores both texts alike."""
+    from tessera.llm.queries import op2_lm_scoring
+
+    rows = [(i, "a b x" if i % 2 else "c b y") for i in range(200)] + [(1000 + i, t) for i, t in enumerate(("a b x", "a b y"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in op2_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[1000] - got[1001] > 1
