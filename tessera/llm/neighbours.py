@@ -4,7 +4,8 @@ Vectors are dealt to shards of about ``shard_rows`` by a hash of their id.  A sh
 inserting nodes in growing batches: a greedy beam search over the graph so far proposes neighbours, and
 pruning keeps the nearest, then only such that no kept one is much nearer to them (by the factor alpha) than
 the node itself; edges back are pruned in the same way.  Inner product becomes distance by one more
-component that makes all vectors equally long.
+component that makes all vectors equally long.  Pruning keeps an edge to one of equal vectors only, so a
+shard's graph has each vector once, with the sorted ids of all its copies beside it.
 
 Graphs and vectors are files in the shared folder.  A task with queries maps the shards one after the
 other, beam-searches each and keeps the best of all; what was found is scored on the original vectors.
@@ -125,23 +126,43 @@ def build(x: np.ndarray, degree: int = 40, width: int = 96, alpha: float = 1.2,
 
 
 class Graph:
-    """One shard's files: ids, original vectors, lengthened vectors and the graph."""
+    """One shard's files: its different vectors (original and lengthened), their graph and the ids of each.
 
-    PARTS = (("ids", "i8"), ("near", "i4"), ("starts", "i4"), ("vectors", None), ("long", "f4"))
+    Vector i has ids[offsets[i]:offsets[i + 1]], sorted; most[i]: how often one of them is there at most.
+    """
+
+    PARTS = (("ids", "i8"), ("offsets", "i8"), ("most", "i4"), ("near", "i4"), ("starts", "i4"), ("vectors", None), ("long", "f4"))
 
     def __init__(self, folder: str, shard: int, n: int, dim: int, kind: str):
         read = lambda name, t: blocks.mapped(f"{folder}/{dim}-{shard:06d}-{name}").view(t)
-        self.ids, self.starts = read("ids", "i8"), np.array(read("starts", "i4"))
+        self.ids, self.offsets, self.most, self.starts = read("ids", "i8"), np.array(read("offsets", "i8")), np.array(read("most", "i4")), np.array(read("starts", "i4"))
         self.near, self.vectors, self.long = read("near", "i4").reshape(n, -1), read("vectors", kind).reshape(n, dim), read("long", "f4").reshape(n, dim + 1)
 
     @staticmethod
-    def save(folder: str, shard: int, ids: np.ndarray, vectors: np.ndarray, **options) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
+    def save(folder: str, shard: int, ids: np.ndarray, vectors: np.ndarray, **options) -> int:
+        """Write the files and return the number of different vectors."""
+        vectors, of = np.unique(vectors + vectors.dtype.type(0), axis=0, return_inverse=True)  # -0 becomes 0
+        of = of.reshape(-1)
+        least = np.full(len(vectors), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, ids)
+        by = np.argsort(least, kind="stable")  # vectors by smallest id
+        vectors, of = vectors[by], np.argsort(by)[of]
+        order = np.lexsort((ids, of))
+        ids, of = ids[order], of[order]
+        offsets = np.searchsorted(of, np.arange(len(vectors) + 1))
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])])
+        most = np.maximum.reduceat(np.diff(np.r_[first, len(ids)]), np.searchsorted(of[first], np.arange(len(vectors))))
         long = _lengthened(vectors)
         near, starts = build(long, **options)
-        for name, x in (("ids", ids.astype("i8")), ("near", near.astype("i4")), ("starts", starts.astype("i4")), ("vectors", vectors), ("long", long)):
+        for name, x in (("ids", ids.astype("i8")), ("offsets", offsets.astype("i8")), ("most", most.astype("i4")), ("near", near.astype("i4")), ("starts", starts.astype("i4")), ("vectors", vectors), ("long", long)):
             blocks.put(f"{folder}/{vectors.shape[1]}-{shard:06d}-{name}", [np.ascontiguousarray(x).tobytes()])
+        return len(vectors)
+
+    def copies(self, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each node the smallest ids, at least k without any one id if there are as many; and their number."""
+        take = np.minimum(self.offsets[node + 1] - self.offsets[node], k + self.most[node])
+        step = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+        return self.ids[np.repeat(self.offsets[node], take) + step], take
 
     def search(self, q: np.ndarray, width: int) -> np.ndarray:
         """Beams of the queries, which are first made as long as the lengthened vectors: that keeps their order."""
@@ -179,8 +200,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int =
     def index(key: tuple, table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         v = _matrix(t.column("v").chunk(0), kind)
-        Graph.save(folder, key[1].as_py(), t.column("vec_id").to_numpy(), v, degree=degree, width=build_width, alpha=alpha)
-        return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(v)], pa.int64())})
+        n = Graph.save(folder, key[1].as_py(), t.column("vec_id").to_numpy(), v, degree=degree, width=build_width, alpha=alpha)
+        return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")).repartition(n_shards, "dim", "shard")
     made = [tuple(r) for r in dealt.groupBy("dim", "shard").applyInArrow(index, "dim int, shard int, n long").collect()]  # one row per shard
@@ -193,20 +214,26 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int =
                 for a in range(0, len(own), 512):
                     part = own[a : a + 512]
                     q, q_ids = _matrix(batch.column(1).take(pa.array(part)), kind), ids[part]
-                    best_id, best = np.full((len(part), 0), 0), np.zeros((len(part), 0))
+                    row, best_id, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                    place = row
                     for d, s, n in made:
                         if d != dim:
                             continue
                         g = Graph(folder, s, n, d, kind)
                         at = g.search(q, min(width, n))
-                        r, c = np.nonzero((at >= 0) & (g.ids[at] != q_ids[:, None]))
-                        score = np.full(at.shape, -np.inf)
-                        score[r, c] = np.einsum("ij,ij->i", g.vectors[at[r, c]].astype(float), q[r].astype(float))
-                        best_id, best = np.concatenate([best_id, g.ids[at]], 1), np.concatenate([best, score], 1)
-                        order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                        best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
-                    r, c = np.nonzero(np.isfinite(best))
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array((c + 1).astype(np.int32)), pa.array(best_id[r, c]), pa.array(best[r, c])], [x.split()[0] for x in FOUND.split(", ")])
+                        r, c = np.nonzero(at >= 0)
+                        node = at[r, c]
+                        score = np.einsum("ij,ij->i", g.vectors[node].astype(float), q[r].astype(float))
+                        own_id, take = g.copies(node, k)
+                        r, score = np.repeat(r, take), np.repeat(score, take)
+                        some = (own_id != q_ids[r]) & np.isfinite(score)
+                        row, best_id, best = np.r_[row, r[some]], np.r_[best_id, own_id[some]], np.r_[best, score[some]]
+                        order = np.lexsort((best_id, -best, row))
+                        row, best_id, best = row[order], best_id[order], best[order]
+                        place = np.arange(len(row)) - np.searchsorted(row, row)
+                        some = place < k
+                        row, best_id, best, place = row[some], best_id[some], best[some], place[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array((place + 1).astype(np.int32)), pa.array(best_id), pa.array(best)], [x.split()[0] for x in FOUND.split(", ")])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     queries = rows.filter(F.col("vec_id") % every == 0).repartition(n, "vec_id")

@@ -43,3 +43,24 @@ def test_odd_rows(spark):
     assert [g for g in got if g[0] == 0] == zero
     assert [g[2] for g in got if g[0] == -20] == [5, 0, 1, 2, 5] and {g[0] for g in got} == {0, -20}
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_many_exact_copies(spark):
+    """Every query in or near a large group of copies gets the smallest ids of it."""
+    from tessera.llm.neighbours import nearest
+
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=(1, 16))
+    x = np.r_[np.repeat(one, 900, 0), one + 0.05 * rng.normal(size=(100, 16)), rng.normal(size=(1400, 16))]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+    ids = rng.permutation(len(x))
+    got = {}
+    for r in nearest(frame(spark, ids, x), shard_rows=800).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    copies = set(ids[:900].tolist())
+    n = 0
+    for q, want in brute(ids, x, 20, 20):
+        if q in copies:
+            n += 1
+            assert [v for _, v in sorted(got[q])] == sorted(copies - {q})[:20]
+    assert n > 20
