@@ -54,6 +54,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """This name, longer where a column has it in any case: helper columns never meet a caller's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _local(uri: str) -> str | None:
     u = urlparse(uri)
     return unquote(u.path) if u.scheme in ("", "file") else None
