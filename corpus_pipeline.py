@@ -22,8 +22,8 @@ THRESHOLD = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (3), fitted on the labelled ones, scores under the threshold."""
-    machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_scores(docs, machine, "_toxic").filter(F.col("_toxic") < THRESHOLD).drop("_toxic")
+    machine, score = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), blocks.unused(docs.columns, "score")
+    return with_scores(docs, machine, score).filter(F.col(score) < THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
