@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,7 @@ from tessera.functions.dims import LONG_STATES, NOISE_WORDS, REFINED_NOISE, STAT
 
 SPACE = r"(?U)\s+"
 EMPTY_WORDS = ["", "nan", "none"]
+#: Fixed value: how overlay texts name a media code.
 MEDIA_CODE = r"(?U)[Mm]edia\s*code[:\s]+(\S+)"
 
 
@@ -33,6 +35,11 @@ def _match(c: Column, rx: str, group: int = 1) -> Column:
     return F.when(F.rlike(c, F.lit(rx)), F.regexp_extract(c, rx, group))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE), lambda w: w != "")
 
@@ -51,10 +58,12 @@ def clean_noise(c: Column, noise: list[str] = NOISE_WORDS, words_first: bool = F
         text = F.array_join(F.filter(_words(text), lambda w: ~bare(w).isin(noise)), " ")
     text = F.regexp_replace(text, r"([a-zA-Z])\1{2,}", "$1")
     text = F.regexp_replace(text, r"(?U)[^a-zA-Z0-9\s.,()/\-©@]", " ")
-    junk = lambda w: bare(w).isin(noise) | ((F.length(bare(w)) <= 2) & ~F.rlike(bare(w), F.lit("^[a-z]+$"))) | ((F.length(bare(w)) > 5) & ~F.rlike(bare(w), F.lit("[aeiouy]")))
-    text = strip(clean_text(F.array_join(F.filter(_words(text), lambda w: ~junk(w)), " ")), " ,.-;")
-    means = F.exists(_words(text), lambda w: (F.length(w) > 2) | F.rlike(w, F.lit("[A-Z]")))
-    return F.when(~means & (F.size(_words(text)) > 5), F.lit("")).otherwise(text)
+    junk = lambda b: b.isin(noise) | ((F.length(b) <= 2) & ~F.rlike(b, F.lit("^[a-z]+$"))) | ((F.length(b) > 5) & ~F.rlike(b, F.lit("[aeiouy]")))
+    pairs = F.transform(_words(text), lambda w: F.struct(w.alias("word"), bare(w).alias("bare")))
+    kept = F.transform(F.filter(pairs, lambda x: ~junk(x["bare"])), lambda x: x["word"])
+    text = strip(clean_text(F.array_join(kept, " ")), " ,.-;")
+    nothing = lambda t: ~F.rlike(t, F.lit(r"(?U)\S{3,}|[A-Z]")) & (F.size(_words(t)) > 5)
+    return _once(text, lambda t: F.when(nothing(t), F.lit("")).otherwise(t))
 
 
 def clean_refined(c: Column, noise: list[str] = REFINED_NOISE) -> Column:

@@ -148,4 +148,5 @@ def sync_totals(local: DataFrame, remote: DataFrame, key: str, batch: int, examp
 
 
 def mean_or_zero(total: Column, n: Column) -> Column:
+    """A mean whose number is at least 1, so that nothing summed over nothing is 0."""
     return F.coalesce(total, F.lit(0.0)) / F.greatest(n, F.lit(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +23,34 @@ def with_fallback(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return images.select("image").join(b, "image", "left").select("image", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in (("cx", 0.5), ("cy", 0.5), ("w", 1.0), ("h", 1.0))), "score")
 
 
+def annotated(images: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame], image: str = "image") -> DataFrame:
+    """Boxes that a detector finds, image by image: image, cx, cy, w, h, score, fallback.
+
+    ``detect`` gets a batch of rows and returns rows with the image, the box and a score. Where it raises, the batch
+    is tried row by row; an image that it fails on or finds nothing in gets the box of the whole image (fallback,
+    score null). A null image is passed on like any other.
+    """
+    columns = ["cx", "cy", "w", "h", "score"]
+    whole = {"cx": 0.5, "cy": 0.5, "w": 1.0, "h": 1.0, "score": None, "fallback": True}
+
+    def found(batch: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return detect(batch)[[image, *columns]]
+        except Exception:  # noqa: BLE001 - a detector may raise anything; rows that it can read still count
+            if len(batch) <= 1:
+                return pd.DataFrame(columns=[image, *columns])
+            return pd.concat([found(batch.iloc[[i]]) for i in range(len(batch))], ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = found(batch).assign(fallback=False)
+            rest = batch.loc[~batch[image].isin(got[image]), [image]].assign(**whole)
+            yield pd.concat([x for x in (got, rest) if len(x)], ignore_index=True) if len(got) + len(rest) else rest
+
+    kind = images.schema[image].dataType.simpleString()
+    return images.mapInPandas(run, f"{image} {kind}, cx double, cy double, w double, h double, score double, fallback boolean")
+
+
 def yolo_lines(boxes: DataFrame) -> DataFrame:
     """(image, line) with six decimals."""
     return boxes.select("image", F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", "cx", "cy", "w", "h").alias("line"))
@@ -97,6 +125,6 @@ def nms(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id", mode:
 
 def coco(images: DataFrame, boxes: DataFrame, categories: DataFrame) -> DataFrame:
     """One row per image with its annotations nested: image, annotations (array of id, category, bbox, area)."""
-    b = boxes.join(F.broadcast(categories), "class_id", "left")
+    b = boxes.join(categories, "class_id", "left")
     own = b.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("box_id", "slug", "bbox", "area"))).alias("annotations"))
     return images.join(own, "image", "left")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.splits import hash_ranks
+
 
 def class_index(tables: Sequence[DataFrame], cls: str) -> DataFrame:
     """(class, label): distinct classes of all tables, sorted, numbered from 0. One window over the class list."""
@@ -46,15 +48,20 @@ def sampling_weights(df: DataFrame, cls: str) -> DataFrame:
     return df.join(n, cls).crossJoin(F.broadcast(k)).withColumn("draw_chance", F.lit(1.0) / F.col("_n") / F.col("_k")).drop("_n", "_k")
 
 
+def drawn(seed: int, draw: str, below: str) -> Column:
+    """A number under ``below`` for each draw: the first 15 digits of the md5 of 'seed:draw', as a number, modulo."""
+    return F.pmod(F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col(draw).cast("string"))), F.lit(15)), 16, 10).cast("bigint"), F.col(below))
+
+
 def balanced_sample(df: DataFrame, cls: str, key: str, draws: int, seed: int = 42) -> DataFrame:
     """``draws`` rows with replacement, classes equally likely: draw, key, class.
 
-    A draw picks a class and a place in it by hashes of the seed and its number; rows of a class are numbered by key.
+    A draw picks a class and a place in it by hashes of the seed and its number; rows of a class are numbered by the
+    md5 of seed and key, in parts, and rows that share class and key count once. Rows without a class are not drawn.
     """
-    rows = df.select(key, cls).withColumn("_i", F.row_number().over(Window.partitionBy(cls).orderBy(key)) - 1)
-    index = class_index([df], cls).join(df.groupBy(cls).agg(F.count("*").alias("_n")), cls)
+    rows = hash_ranks(df.select(key, cls).filter(F.col(cls).isNotNull()).distinct(), cls, key, seed, "_n", "_i")
+    index = class_index([df], cls).join(rows.groupBy(cls).agg(F.max("_n").alias("_n")), cls)  # the class list
     k = index.agg(F.count("*").alias("_k"))
-    pick = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(k))
-    pick = pick.withColumn("label", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("_k")).cast("int")).join(F.broadcast(index), "label")
-    pick = pick.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("_n")).cast("int"))
-    return pick.join(rows, [cls, "_i"]).select("draw", key, cls)
+    pick = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(k)).withColumn("label", drawn(seed, "draw", "_k"))
+    pick = pick.join(index, "label").withColumn("_i", drawn(seed + 1, "draw", "_n") + 1)
+    return pick.select("draw", cls, "_i").join(rows.select(key, cls, "_i"), [cls, "_i"]).select("draw", key, cls)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import blank_to_null
 from tessera.schema import resolve_column
+from tessera.shared import shared_dir, unused, written
 
+#: Fixed value: how file names mark early stages.
 EARLY = r"_[Ee]arly[Ss]tage_|_[Ee]arly[-_][Ss]tage|Early.?Stage"
 
 
@@ -110,6 +112,26 @@ def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
 
 
+def to_fetch(remote: DataFrame, local: DataFrame, key: str, size: str) -> DataFrame:
+    """Remote rows that the local side lacks or has in another size, with ``local_size`` (null if not there). The local side holds a key once."""
+    there = local.select(key, F.col(size).alias("local_size"))
+    return remote.join(there, key, "left").filter(F.col("local_size").isNull() | (F.col("local_size") != F.col(size)))
+
+
+def assembled(rows: DataFrame, hit: Column, fields: dict[str, tuple[Column | None, Column | None, object]], keep: Sequence[str] = ()) -> DataFrame:
+    """Records by field: (value of the look-up, parsed value, constant).
+
+    Where the look-up hit, its value counts, else the parsed one; the constant stands where that is null or blank.
+    """
+    null = F.lit(None).cast("string")
+
+    def value(known: Column | None, parsed: Column | None, constant: object) -> Column:
+        one = F.when(hit, null if known is None else known.cast("string")).otherwise(null if parsed is None else parsed.cast("string"))
+        return F.coalesce(blank_to_null(one), F.lit(constant).cast("string"))
+
+    return rows.select(*keep, *(value(*x).alias(name) for name, x in fields.items()))
+
+
 def resolve_paths(df: DataFrame, candidates: Sequence[Column], inventory: DataFrame, id_col: str, path: str = "path") -> DataFrame:
     """(id, resolved): the first candidate path that the inventory has, else null."""
     pairs = df.select(id_col, F.posexplode(F.array(*candidates)).alias("pos", path))
@@ -130,14 +152,18 @@ def path_candidates(path: Column, class_: Column, folder: str = "images") -> lis
 
 
 def keep_last(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """The row with the largest seq of each key; partial aggregation, no window over a hot key."""
+    """The row with the largest seq of each key; partial aggregation, no window over a hot key.
+
+    A null seq is less than any other; of a key with null ones only, some row stays.
+    """
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(*(F.col(c if c == key else f"_r.{c}").alias(c) for c in df.columns))
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(seq).isNotNull(), F.col(seq))).alias("_r")).select(*(F.col(c if c == key else f"_r.{c}").alias(c) for c in df.columns))
 
 
 def keep_first(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """The row with the least seq of each key; a null seq comes last."""
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), seq).alias("_r")).select(*(F.col(c if c == key else f"_r.{c}").alias(c) for c in df.columns))
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.col(seq).isNull(), F.col(seq))).alias("_r")).select(*(F.col(c if c == key else f"_r.{c}").alias(c) for c in df.columns))
 
 
 def last_write(df: DataFrame, key: str, value: str, priority: str, seq: str) -> DataFrame:
@@ -145,19 +171,30 @@ def last_write(df: DataFrame, key: str, value: str, priority: str, seq: str) ->
     return df.groupBy(key).agg(F.max_by(value, F.struct(priority, seq)).alias(value))
 
 
+def in_parts(df: DataFrame, order: Sequence[str], part: str, pos: str) -> DataFrame:
+    """df sorted over range partitions, with the partition and the place in it (from 0).
+
+    The sorted rows are stored once in the shared folder, so every later step sees the same partitions,
+    and the input is read and shuffled once. A stored place doesn't change when a task is repeated.
+    """
+    at = unused([*df.columns, part, pos], "_at")
+    rows = written(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), shared_dir(df.sparkSession, "sorted"))
+    # the generated id is the partition's number times 2^33 plus the place
+    return rows.withColumns({part: F.shiftright(F.col(at), 33), pos: F.col(at).bitwiseAND(F.lit((1 << 33) - 1))}).drop(at)
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str = "image_id", first: int = 1) -> DataFrame:
     """Numbers first, first+1, ... in an order, without all rows in one task.
 
-    Rows are range-partitioned by the order and numbered within; each partition starts after the number of rows before.
-    The order must be total, so that a repeated task deals the same rows.
+    A partition of the sorted rows starts after the number of rows before it. The order should be total; equal
+    rows are numbered in any order. Nulls come first.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    sizes = cut.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
-    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
-    w = Window.partitionBy("__p").orderBy(*order)
-    return cut.withColumn("__i", F.row_number().over(w)).join(F.broadcast(starts), "__p").withColumn(name, (F.col("__start") + F.col("__i") + (first - 1)).cast("long")).drop("__p", "__i", "__start")
+    part, pos, n = (unused([*df.columns, name], x) for x in ("_part", "_pos", "_n"))
+    rows = in_parts(df, order, part, pos)
+    sizes = rows.groupBy(part).agg(F.count("*").alias(n))
+    before = F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    starts = sizes.select(part, F.coalesce(before, F.lit(0)).alias(n))
+    return rows.join(F.broadcast(starts), part).withColumn(name, (F.col(n) + F.col(pos) + first).cast("long")).drop(part, pos, n)
 
 
 def next_id(df: DataFrame, col: str) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.operators.tables import numbered
+from tessera.operators.tables import in_parts, numbered
+from tessera.shared import unused
 
 
 def chunks(df: DataFrame, order: list[str], k: int, mode: str = "contiguous") -> DataFrame:
@@ -22,25 +28,54 @@ def batch_by_count(df: DataFrame, order: list[str], size: int) -> DataFrame:
     return numbered(df, order, "_i", 0).withColumn("batch", F.floor(F.col("_i") / size).cast("long")).drop("_i")
 
 
+def folded(df: DataFrame, key: str, order: Sequence[str], start: Callable[[], list], step: Callable[[list, tuple], tuple | None], schema: str, end: Callable[[list], tuple] | None = None) -> DataFrame:
+    """A fold over each key's rows in an order; rows are what step (and, after a key's last row, end) returns, under the key.
+
+    The rows of a partition come sorted and are streamed: a task keeps the state of one key and one batch, however
+    many rows a key has. Null keys are one key.
+    """
+    names = [key, *[x.strip().split()[0] for x in schema.split(",")]]
+    out = T.StructType([df.schema[key], *T.StructType.fromDDL(schema).fields])
+    kinds = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, some = None, [], False
+        for batch in batches:
+            done = []
+            for k, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not some or k != now:
+                    if some and end:
+                        done.append((now, *end(state)))
+                    now, state, some = k, start(), True
+                if (got := step(state, values)) is not None:
+                    done.append((k, *got))
+            yield made(done)
+        if some and end:
+            yield made([(now, *end(state))])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], names)
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, out)
+
+
 def batch_by_bytes(df: DataFrame, group: str, order: str, size: str, limit: int, header: int = 0) -> DataFrame:
     """Greedy batches of a group's rows in order: one opens when the next row would pass the limit; an oversized row
-    goes alone. group, order, size, batch.
-
-    The rule is a fold over the ordered sizes, so one group's (order, size) pairs meet in one row.
+    goes alone. group, order, size, batch. A null size counts as 0.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("batch"), F.lit(header).cast("bigint").alias("used"), F.lit(0).alias("n"))
-    start = F.struct(zero.alias("now"), F.array().cast("array<bigint>").alias("out"))
+    pairs = df.select(group, order, F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias(size))
 
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["now"]
-        new = (now["used"] + x["s"] > limit) & (now["n"] > 0)
-        batch = now["batch"] + new.cast("bigint")
-        state = F.struct(batch.alias("batch"), (F.when(new, F.lit(header).cast("bigint")).otherwise(now["used"]) + x["s"]).alias("used"), F.when(new, F.lit(1)).otherwise(now["n"] + 1).alias("n"))
-        return F.struct(state.alias("now"), F.concat(acc["out"], F.array(batch)).alias("out"))
+    def step(state: list, row: tuple) -> tuple:
+        batch, used, n = state
+        if n and used + row[1] > limit:
+            batch, used, n = batch + 1, header, 0
+        state[:] = batch, used + row[1], n + 1
+        return row[0], row[1], batch
 
-    got = df.groupBy(group).agg(pairs.alias("_p")).withColumn("_b", F.aggregate("_p", start, step, lambda a: a["out"]))
-    return got.select(group, F.inline(F.arrays_zip("_p", "_b"))).select(group, F.col("_p.o").alias(order), F.col("_p.s").alias(size), F.col("_b").alias("batch"))
+    kind = pairs.schema[order].dataType.simpleString()
+    return folded(pairs, group, [order, size], lambda: [0, header, 0], step, f"{order} {kind}, {size} bigint, batch bigint")
 
 
 def circuit_breaker(log: DataFrame, key: str, order: str, ok: str, run: int = 10, stop: int = 3) -> DataFrame:
@@ -56,24 +91,46 @@ def circuit_breaker(log: DataFrame, key: str, order: str, ok: str, run: int = 10
 
 
 def lease_grants(log: DataFrame, key: str, seconds: str, ttl: int = 600) -> DataFrame:
-    """(key, granted at): a claim is granted if the last grant is ttl seconds old. One fold over a key's ordered claims."""
-    times = F.array_sort(F.collect_list(F.col(seconds).cast("bigint")))
-    start = F.array().cast("array<bigint>")
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= ttl), F.concat(acc, F.array(t))).otherwise(acc)
-    return log.groupBy(key).agg(F.aggregate(times, start, step).alias("_g")).select(key, F.explode("_g").alias("granted"))
+    """(key, granted at): a claim is granted if the last grant is ttl seconds old. One fold over a key's ordered claims; claims without a time are none."""
+    times = log.select(key, F.col(seconds).cast("bigint").alias("granted")).filter("granted is not null")
+
+    def step(state: list, row: tuple) -> tuple | None:
+        if not state or row[0] - state[0] >= ttl:
+            state[:] = row
+            return (row[0],)
+        return None
+
+    return folded(times, key, ["granted"], list, step, "granted bigint")
 
 
 def ema(df: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """(key, n, ema) after all values in order; the first value seeds. A fold over a run's values."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"])
-    fold = F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(keep * a + (1 - keep) * x))
-    return df.groupBy(key).agg(F.count("*").alias("n"), fold.alias("ema"))
+    """(key, n, ema) after all values in order; the first value seeds, null values are counted but leave it. A fold over a run's values."""
+
+    def step(state: list, row: tuple) -> None:
+        state[0] += 1
+        if row[1] is not None:
+            state[1] = row[1] if state[1] is None else keep * state[1] + (1 - keep) * row[1]
+
+    rows = df.select(key, order, F.col(value).cast("double").alias("ema"))
+    return folded(rows, key, [order, "ema"], lambda: [0, None], step, "n bigint, ema double", tuple)
 
 
 def best_so_far(df: DataFrame, order: str, value: str, key: str | None = None) -> DataFrame:
-    """Rows whose value is above all before it (and above 0 for the first)."""
-    w = (Window.partitionBy(key) if key else Window).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_m", F.coalesce(F.max(value).over(w), F.lit(0.0))).filter(F.col(value) > F.col("_m")).drop("_m")
+    """Rows whose value is above all before it (and above 0 for the first).
+
+    Rows are sorted over range partitions; each starts from the largest value of the partitions before it (of its
+    key), so neither a table without key nor a hot key is one task.
+    """
+    part, pos, top, none = (unused(df.columns, x) for x in ("_part", "_pos", "_top", "_key"))
+    own = key or none
+    rows = df if key else df.withColumn(none, F.lit(0))
+    rows = in_parts(rows, [own, order], part, pos)
+    w = Window.partitionBy(own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition and key
+    tops = rows.groupBy(own, part).agg(F.max(value).alias(top)).select(F.col(own).alias(own + top), F.col(part).alias(part + top), F.max(top).over(w).alias(top))
+    got = rows.join(tops, (rows[part] == tops[part + top]) & rows[own].eqNullSafe(tops[own + top]))
+    before = F.max(value).over(Window.partitionBy(own, part).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
+    got = got.withColumn(pos, F.coalesce(F.greatest(before, top), F.lit(0.0)))
+    return got.filter(F.col(value) > F.col(pos)).select(*df.columns)
 
 
 def run_counters(log: DataFrame, planned: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -212,7 +212,18 @@ QUERIES = {
         on("documents")(lambda d: rounded(features.sampling_weights(d.select("doc_id", "source"), "source"), "draw_chance", digits=9)),
         """SELECT doc_id, source, round(1.0::DOUBLE / count(*) OVER (PARTITION BY source) / (SELECT count(DISTINCT source) FROM documents), 9) AS draw_chance FROM documents""",
     ),
-    "balanced_sample": (on("documents")(lambda d: features.balanced_sample(d, "source", "doc_id", 1000)), None),
+    "balanced_sample": (
+        on("documents")(lambda d: features.balanced_sample(d, "source", "doc_id", 1000)),
+        """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT DISTINCT doc_id, source FROM documents WHERE source IS NOT NULL)),
+ c AS (SELECT source, n, row_number() OVER (ORDER BY source) - 1 AS label FROM (SELECT DISTINCT source, n FROM r)),
+ d AS (SELECT range AS draw, CAST('0x' || left(md5('42:' || range), 15) AS BIGINT) AS a, CAST('0x' || left(md5('43:' || range), 15) AS BIGINT) AS b FROM range(1000))
+ SELECT draw, doc_id, r.source FROM d JOIN c ON c.label = d.a % (SELECT count(*) FROM c) JOIN r ON r.source = c.source AND r.i = d.b % c.n + 1""",
+    ),
+    "mean_loss": (
+        on("events")(lambda e: rounded(e.groupBy("user_id").agg(audit.mean_or_zero(F.sum(F.when(F.col("event_type") == "error", F.col("value"))), F.count_if(F.col("event_type") == "error")).alias("loss")), "loss")),
+        """SELECT user_id, round(coalesce(sum(value) FILTER (event_type = 'error'), 0) / greatest(count(*) FILTER (event_type = 'error'), 1), 6) AS loss FROM events GROUP BY 1""",
+    ),
     "confusion": (lambda spark, sf: evaluation.confusion(predictions(spark, sf)), f"SELECT target, pred, count(*) AS n FROM {PRED_SQL} GROUP BY 1, 2"),
     "top_confusions": (
         lambda spark, sf: evaluation.top_confusions(predictions(spark, sf)),

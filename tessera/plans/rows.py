@@ -108,8 +108,8 @@ def resolved(p):
 def sizes_differ(o):
     """Keys to fetch: not there or of another size."""
     remote = o.select("o_orderkey", F.col("o_custkey").alias("size"))
-    local = o.filter("o_orderkey % 3 <> 0").select("o_orderkey", (F.col("o_custkey") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).alias("local_size"))
-    return remote.join(local, "o_orderkey", "left").filter("local_size is null or local_size <> size")
+    local = o.filter("o_orderkey % 3 <> 0").select("o_orderkey", (F.col("o_custkey") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).alias("size"))
+    return tables.to_fetch(remote, local, "o_orderkey", "size")
 
 
 def tumbling(e, minutes=60):
@@ -117,7 +117,7 @@ def tumbling(e, minutes=60):
 
 
 def sessions(e):
-    return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("_w")).agg(F.count("*").alias("n")).select("user_id", F.unix_millis(F.col("_w.start").cast("timestamp")).alias("start_ms"), "n")
+    return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("_w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros(F.col("_w.start").cast("timestamp")).alias("start_us"), "n")
 
 
 QUERIES = {
@@ -312,7 +312,7 @@ QUERIES = {
     "session_counts": (
         on("events")(sessions),
         """WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
- b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch_ms(min(ts)) AS start_ms, count(*) AS n FROM b GROUP BY user_id, s""",
+ b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM b GROUP BY user_id, s""",
     ),
     "keyword_sample": (
         on("part")(lambda p: tables.keyword_sample(p.select("p_partkey", "p_name"), "p_name", "A", ["p_name", "p_partkey"], 20)),

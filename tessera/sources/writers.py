@@ -62,10 +62,11 @@ def manifest(df: DataFrame, group: str, status: str, path: str) -> None:
 
 
 def markdown(sections: dict[str, DataFrame], most: int = 100) -> str:
-    """Sections as Markdown tables; each holds at most ``most`` rows of an aggregate (a report's limit)."""
+    """Sections as Markdown tables of at most ``most`` rows (a report's limit); a cut section says so."""
     out = []
     for title, df in sections.items():
-        rows = df.limit(most).collect()
+        rows = df.limit(most + 1).collect()
+        more = [f"*(the first {most} rows)*"] if len(rows) > most else []
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows] + [""]
+        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:most]] + [*more, ""]
     return "\n".join(out)

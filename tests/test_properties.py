@@ -48,6 +48,55 @@ def test_one_row_per_key(spark, rows):
     assert {(r.k, r.only_in) for r in diff} == {(k, "left") for k in ka - kb} | {(k, "right") for k in kb - ka}
 
 
+def test_numbers_of_many_rows(spark):
+    """Over a million rows with payload, many partitions and ties: every number once; the same for places in a class."""
+    n = 1_200_000
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(n, numPartitions=16).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), F.md5(F.col("id").cast("string")).alias("payload"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 1000).cast("string")).alias("c"))
+        out = tables.numbered(df, ["k"], "i")
+        got = out.agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i")).first()
+        assert tuple(got) == (n, n, 1, n)
+        ordered = out.filter("i % 50000 = 7").orderBy("k").select("i").collect()
+        assert [r.i for r in ordered] == sorted(r.i for r in ordered)
+        split = splits.hash_ranks(df.select("k", "c").distinct(), "c", "k", 42, "n", "r")
+        bad = split.groupBy("c").agg(F.count("*").alias("n"), F.countDistinct("r").alias("d"), F.max("r").alias("m"), F.max("n").alias("s")).filter("n <> d or n <> m or n <> s")
+        assert bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_folds_stream_a_large_group(spark):
+    df = spark.range(200_000).select(F.lit("hot").alias("g"), F.col("id").alias("i"), (F.col("id") % 7 + 1).alias("s"))
+    got = workplan.batch_by_bytes(df, "g", "i", "s", 100).groupBy("batch").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
+    assert got.filter("s > 100").count() == 0 and got.agg(F.sum("n")).first()[0] == 200_000
+    best = workplan.best_so_far(df.withColumn("v", F.col("i").cast("double")), "i", "v", "g")
+    assert best.count() == 199_999 and best.columns == ["g", "i", "s", "v"]
+    odd = spark.createDataFrame([(None, 1, 5), (None, 2, None), ("a", 1, 90), ("a", 2, 20)], "g string, i int, s long")
+    assert sorted(map(tuple, workplan.batch_by_bytes(odd, "g", "i", "s", 100).collect()), key=str) == sorted([(None, 1, 5, 0), (None, 2, 0, 0), ("a", 1, 90, 0), ("a", 2, 20, 1)], key=str)
+    assert workplan.ema(odd, "g", "i", "s").filter("g is null").first()[1:] == (2, 5.0)
+
+
+def test_annotator_falls_back(spark):
+    import pandas as pd
+
+    def detect(batch):
+        if "bad" in batch["image"].tolist():
+            raise ValueError
+        some = batch[batch["image"] != "none"]
+        return pd.DataFrame({"image": some["image"], "cx": 0.1, "cy": 0.2, "w": 0.3, "h": 0.4, "score": 0.9})
+
+    images = spark.createDataFrame([("a",), ("bad",), ("none",), ("b",)], "image string").coalesce(1)
+    got = {r.image: (r.w, r.score, r.fallback) for r in boxes.annotated(images, detect).collect()}
+    assert got == {"a": (0.3, 0.9, False), "b": (0.3, 0.9, False), "bad": (1.0, None, True), "none": (1.0, None, True)}
+    assert boxes.annotated(images.limit(0), detect).count() == 0
+
+
+def test_null_order_values(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 3, 2), ("b", None, 7)], "k string, seq int, v int")
+    assert {(r.k, r.v) for r in tables.keep_last(df, "k", "seq").collect()} == {(r.k, r.v) for r in tables.keep_first(df, "k", "seq").collect()} == {("a", 2), ("b", 7)}
+
+
 def test_weights(spark):
     counts = spark.createDataFrame([("a", 1), ("b", 10), ("c", 1000)], "c string, n int")
     w = [r.weight for r in features.class_weights(counts).orderBy("c").collect()]
