@@ -4,7 +4,10 @@ Each document becomes ids (plus an end id); only one longer than a sequence is c
 takes the remainder.  Pieces are dealt by hash to as many partitions as the session shuffles to and
 packed there by bounded-space online best fit: at most ``open_bins`` bins are open, kept by free space
 with a bitset of the free spaces in use; a piece goes to the bin with least sufficient space, a full bin
-is closed at once, and when one too many is open the fullest closes.  Pieces come longest first.
+is closed at once, and when one too many is open the fullest closes.  Pieces arrive in an order that does not
+hang on their lengths; only blocks of ``open_bins`` of them are put longest first.  (A partition that is sorted as a
+whole would close the bins that its later, shorter pieces need.)  Sequences are under 1 % more than the tokens
+need from some thousand pieces a partition on.
 """
 
 from __future__ import annotations
@@ -38,33 +41,35 @@ class Encoder:
     """Ids of a text, as little-endian bytes, under a tokenizer file (JSON).
 
     A byte-level BPE whose ids follow its merges is read into tiktoken's faster coder, which gives the same
-    ids; any other file is left to its own library.
+    ids; any other file is left to its own library.  The file's added tokens are found in texts, as the
+    library does by default.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, before, byte = spec["model"], spec.get("pre_tokenizer") or {}, _byte_of()
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special = {x["content"]: x["id"] for x in added}
         vocabulary = {t: i for t, i in model["vocab"].items() if t not in special} if isinstance(model["vocab"], dict) else {}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
         by_merge = [vocabulary.get("".join(m)) for m in merges] == list(range(256, 256 + len(merges)))
-        simple = model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not spec.get("normalizer")
+        plain = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        simple = plain and model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not spec.get("normalizer")
         self.coder = None
         if simple and by_merge and len(vocabulary) == 256 + len(merges):
             import tiktoken
 
             ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
-            self.coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         else:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
 
     def __call__(self, text: str) -> bytes:
         if self.coder:
-            return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -130,19 +135,21 @@ def pack(cut: DataFrame, length: int = 1024, open_bins: int = 4096) -> DataFrame
     """Place pieces: their columns (ids too, if there) with sequence_id and offset.
 
     sequence_id is the partition's number times 2**40 plus the bin's number in it.  A partition holds
-    nothing but small rows and is sorted, so a repeated task gives the same places.  No pieces: no rows.
+    nothing but small rows and is sorted by their checksums, so a repeated task gives the same places.  No
+    pieces: no rows.  Pieces that are alike in all columns are placed each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, bins = TaskContext.get().partitionId() << 40, BestFit(length, open_bins)
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(batch.schema.get_field_index("length")).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                [*batch.schema.names, "sequence_id", "offset"],
-            )
+            size = batch.column(batch.schema.get_field_index("length")).to_numpy()
+            placed = np.empty((len(size), 2), np.int64)
+            for a in range(0, len(size), open_bins):
+                order = a + np.argsort(-size[a : a + open_bins], kind="stable")
+                placed[order] = [bins.place(n) for n in size[order].tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + placed[:, 0]), pa.array(np.ascontiguousarray(placed[:, 1]))], [*batch.schema.names, "sequence_id", "offset"])
 
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.repartition(n, "doc_id", "piece", "ids_crc32")
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32").mapInArrow(run, schema)
+    return dealt.sortWithinPartitions("ids_crc32", "doc_id", "piece", "start", "length").mapInArrow(run, schema)

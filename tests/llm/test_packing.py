@@ -15,7 +15,6 @@ def plain(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -67,6 +66,33 @@ def test_sequences_hold_the_ids(spark):
     assert all(sum((own[i] for i in sorted(own)), []) == plain(TEXTS[d]) for d, own in got.items()) and len(got) == len(TEXTS)
 
 
+def test_null_and_repeated_ids(spark):
+    from tessera.llm.packing import pack, pieces
+
+    rows = [(None, "a b"), (None, None), (7, "same"), (7, "same"), (7, "other " * 2000)]
+    got = pack(pieces(spark.createDataFrame(rows, "doc_id long, text string"), PATH)).collect()
+    assert sorted((r.doc_id or -1, r.piece, r.length) for r in got) == sorted((d or -1, i, n) for d, t in rows for i, n in enumerate(cut(len(plain(t)))))
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
+def cut(n):
+    return [n % 1024 or 1024] + [1024] * (-(-n // 1024) - 1)
+
+
+def test_little_waste_with_many_more_pieces_than_open_bins(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.packing import pack
+
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.pmod(F.xxhash64("id"), F.lit(1024)) + 1).alias("length"), F.crc32(F.col("id").cast("string")).alias("ids_crc32"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = pack(rows).agg(F.sum("length"), F.countDistinct("sequence_id"), F.max(F.col("offset") + F.col("length")), F.count("*")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[3] == 60_000 and got[2] <= 1024 and got[1] <= 1.01 * got[0] / 1024
+
+
 def test_empty_table(spark):
     from tessera.llm.packing import pack, pieces
 
