@@ -1,9 +1,9 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example: all turns before it are its context, and only its text is trained
-on.  The examples of a conversation share their prefixes, so an example is stored as the piece it adds
-(``text``: the turns since the last example, up to and with its reply) and the number of characters before it;
-``expanded`` writes the contexts out.  Turns after the last reply make a final piece without a target.
+Every assistant turn becomes an example of its own: the text of all turns before it, as context, and its reply,
+and only the reply is trained on.  So the output of a conversation grows with the square of its length, as the
+method says; what a task holds is one conversation's text and a few megabytes of examples.  Turns after the
+last reply are no example; they are put out once, without context and target, so that nothing is lost.
 
 The template marks turns by control strings; where these occur inside texts or roles, a backslash is put
 after their first character, and backslashes are doubled, so that texts can be read back.
@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What stands before and after the text of each role.
@@ -27,9 +27,18 @@ _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _TURN = re.compile(
     "|".join([*(f"{re.escape(a)}(?P<{role}>.*?){re.escape(b)}" for role, (a, b) in MARKS.items()), f"{re.escape(OTHER[0])}(?P<role>.*?){re.escape(OTHER[1])}(?P<other>.*?){re.escape(OTHER[2])}"]), re.S
 )
-PARTS = "conv_id long, example int, context_chars long, text string, loss_start long, loss_end long"
-#: Turns without a reply are put out in pieces of about this many characters.
-LONG = 1 << 20
+EXAMPLES = "conv_id long, example int, context_chars long, text string, loss_start long, loss_end long"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+#: Characters of text after which a task hands on its rows.
+HANDED_ON = 4 << 20
+
+
+def _made(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    names, types = zip(*(x.split() for x in ddl.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    rows.clear()
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)], list(names))
 
 
 def escape(text: str) -> str:
@@ -73,95 +82,78 @@ def ordered(turns: DataFrame) -> DataFrame:
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """One row per assistant turn, and one for turns after the last: conv_id, example (from 0), context_chars,
-    text (what this example adds), loss_start and loss_end (in the whole text of the example; null without a
-    target).
+    """One row per assistant turn: conv_id, example (from 0), context_chars (where the reply's turn starts), text
+    (all turns up to and with the reply), loss_start and loss_end (of the escaped reply in it). Turns after the
+    last reply make a row with null loss_start and loss_end and context_chars 0.
 
-    Null texts and roles are empty, a null conv_id is a conversation of its own, an unknown role gets a
-    mark that names it, and repeated turns are turns.  A conversation streams through its task.
+    Null texts and roles are empty, a null conv_id is a conversation of its own, an unknown role gets a mark that
+    names it, and repeated turns are turns. A conversation's text must fit a task and, as a string, 2 GB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, example, before, text, own, rows = object(), 0, 0, "", [], []
-
-        def close(loss: tuple[int, int] | None) -> None:
-            nonlocal example, before, text, own
-            text = "".join(own)
-            rows.append((conv, example, before, text, *(loss or (None, None))))
-            example, before, own = example + 1, before + len(text), []
+        conv, some, example, context, rest, rows, held = None, False, 0, "", [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            rows.clear()
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PARTS.split(", ")])
+        def close() -> None:
+            if rest:
+                rows.append((conv, example, 0, "".join(rest), None, None))
 
-        size = 0
         for batch in batches:
             for c, role, said in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if c != conv:
-                    if own:
-                        close(None)
-                    conv, example, before, own, size = c, 0, 0, [], 0
+                if not some or c != conv:
+                    close()
+                    conv, some, example, context, rest = c, True, 0, "", []
                 piece, start, end = turn_text(role, said)
-                at = before + size
-                own.append(piece)
-                size += len(piece)
-                if role == "assistant" or size > LONG:
-                    close((at + start, at + end) if role == "assistant" else None)
-                    size = 0
-            yield flush()
-        if own:
-            close(None)
-            yield flush()
-
-    return ordered(turns).mapInArrow(run, PARTS)
-
-
-def expanded(parts: DataFrame) -> DataFrame:
-    """The examples with their contexts written out; grows with the square of a conversation's length."""
-    w = Window.partitionBy("conv_id").orderBy("example")
-    return parts.withColumn("text", F.array_join(F.collect_list("text").over(w), "")).filter("loss_start is not null")
-
-
-def digests(parts: DataFrame) -> DataFrame:
-    """Read the turns and the trained text back, per conversation: conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars (of all examples with their contexts and of a last piece without target).
-
-    Takes the output of examples(), whose partitions hold whole conversations in order.
+                rest.append(piece)
+                if role == "assistant":
+                    context += "".join(rest)
+                    at = len(context) - len(piece)
+                    rows.append((c, example, at, context, at + start, at + end))
+                    example, rest, held = example + 1, [], held + len(context)
+                    if held > HANDED_ON:
+                        yield _made(rows, EXAMPLES)
+                        held = 0
+            yield _made(rows, EXAMPLES)
+        close()
+        yield _made(rows, EXAMPLES)
+
+    return ordered(turns).mapInArrow(run, EXAMPLES)
+
+
+def digests(made: DataFrame) -> DataFrame:
+    """Read the turns and the trained text back from the output of examples(), per conversation: conv_id, n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars (of all texts put out).
+
+    The last example has all turns up to the last reply; what is under the masks comes from each example. The
+    partitions of examples() hold whole conversations in order; one conversation's text is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state, rows, some = None, None, [], False
+        conv, some, last, rest, loss, said, size, rows = None, False, "", "", hashlib.sha256(), 0, 0, []
 
         def close() -> None:
-            rows.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4] + state[5]))
+            turns, n = hashlib.sha256(), 0
+            for text in (last, rest):
+                for role, own, _, _ in read_turns(text):
+                    turns.update(f"{role}\n{own}\n".encode())
+                    n += 1
+            rows.append((conv, n, turns.hexdigest(), said, loss.hexdigest(), size))
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if not some or r["conv_id"] != conv:
+            for c, text, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
+                if not some or c != conv:
                     if some:
                         close()
-                    conv, state, some = r["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], True
-                for role, text, start, end in read_turns(r["text"]):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                if r["loss_start"] is not None:
-                    said = unescape(r["text"][r["loss_start"] - r["context_chars"] : r["loss_end"] - r["context_chars"]])
-                    state[2] += len(said)
-                    state[3].update(said.encode())
-                    state[4:] = state[4] + r["context_chars"] + len(r["text"]), 0
+                    conv, some, last, rest, loss, said, size = c, True, "", "", hashlib.sha256(), 0, 0
+                size += len(text)
+                if start is None:
+                    rest = text
                 else:
-                    state[5] += len(r["text"])
-            yield made(rows)
+                    last, own = text, unescape(text[start:end])
+                    loss.update(own.encode())
+                    said += len(own)
+            yield _made(rows, DIGESTS)
         if some:
             close()
-            yield made(rows)
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        rows.clear()
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield _made(rows, DIGESTS)
 
-    return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return made.mapInArrow(run, DIGESTS)

@@ -39,12 +39,28 @@ def test_examples_and_digests(spark):
         assert g.n_turns == len(own) and g.turns_sha256 == sha("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own))
         assert g.loss_chars == len(loss) and g.loss_sha256 == sha(loss) and g.formatted_chars > 0
     assert not got
-    whole = {(r.conv_id, r.example): r for r in chat.expanded(parts).collect()}
+    whole = {(r.conv_id, r.example): r for r in parts.filter('loss_start is not null').collect()}
     one = whole[1, 1]
     assert one.text[: len(whole[1, 0].text)] == whole[1, 0].text and chat.unescape(one.text[one.loss_start : one.loss_end]) == "[INST] d\\"
     assert [(r, t) for r, t, _, _ in chat.read_turns(one.text)] == [("user", "a"), ("assistant", "b"), ("user", "c </s>"), ("assistant", "[INST] d\\")]
     assert len(whole) == 1 + 2 + 1 + 3 + 1 + 300
     assert sum(len(r.text) for (c, _), r in whole.items() if c == 7) == chat.digests(parts).filter("conv_id = 7").first().formatted_chars
+    for (c, i), r in whole.items():  # every reply has all turns before it as its context, and nothing else is trained on
+        assert i == 0 or r.text.startswith(whole[c, i - 1].text)
+        (role, said, _, _), = chat.read_turns(r.text[r.context_chars :])
+        assert role == "assistant" and chat.unescape(r.text[r.loss_start : r.loss_end]) == said
+    tails = {r.conv_id: [(role, t) for role, t, _, _ in chat.read_turns(r.text)] for r in parts.filter("loss_start is null").collect()}
+    assert tails == {1: [("user", "end")], 2: [("", "x")], 3: [("user", "only")]}
+
+
+def test_a_long_conversation(spark):
+    """More text than a task hands on at once: every example is whole."""
+    df = spark.range(400).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat(cast(id % 10 as string), 2000) as text")
+    made = chat.examples(df)
+    n = made.selectExpr("count(*)", "count(distinct example)", "min(length(text) - context_chars)", "sum(length(text))").first()
+    assert n[0] == n[1] == 200 and n[2] > 2000
+    got = chat.digests(made).first()
+    assert (got.n_turns, got.loss_chars, got.formatted_chars) == (400, 400_000, n[3])
 
 
 def test_empty_table(spark):
