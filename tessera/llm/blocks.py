@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -20,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.shared import shared_dir, unused, written  # noqa: F401 - used by the operators under this name
+
 U64 = np.uint64
 #: Multiplier of the polynomial hash (odd, so that it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
@@ -30,36 +34,21 @@ CHUNK_BYTES = 4 << 20
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; below one temporary folder only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
-        top = _OWN[0]
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def shards(spark: SparkSession) -> int:
     """Hash shards of an exchange; follows spark.sql.shuffle.partitions, which is sized for the data."""
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The frame as Parquet in the shared folder, read again: later stages don't repeat the work."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unused(columns: Iterable[str], name: str) -> str:
-    """This name, longer where a column has it in any case: helper columns never meet a caller's."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Actions in here drop their shuffle files when they end: for results that are written and read again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _local(uri: str) -> str | None:
@@ -187,6 +176,22 @@ def inside(counts: np.ndarray, k: int) -> np.ndarray:
     return (np.arange(total) + k <= ends)[: total - k + 1]
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, and the place of every given key among them.
+
+    Sorts the keys with their places in the low bits, so keys that differ there alone may change places and come
+    more than once: fit for look-ups, not for counts.
+    """
+    n = len(keys)
+    low = U64((1 << max(1, (n - 1).bit_length())) - 1)
+    order = (np.sort((keys & ~low) | np.arange(n, dtype=U64)) & low).astype(np.int64)
+    inside = keys[order]
+    new = np.r_[True, inside[1:] != inside[:-1]] if n else np.empty(0, bool)
+    back = np.empty(n, np.int64)
+    back[order] = np.cumsum(new) - 1
+    return inside[new], back
+
+
 def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
@@ -223,6 +228,38 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
     return out
 
 
+class Maps:
+    """Memory maps of a folder's files; the least recently used are closed when too many are open."""
+
+    def __init__(self, folder: str, most: int = 2048):
+        self.folder, self.most = folder, most
+        self._open: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": OrderedDict()}
+
+    def get(self, name: str) -> np.ndarray:
+        if name not in self._open:
+            if len(self._open) >= self.most:
+                self._open.popitem(last=False)
+            self._open[name] = mapped(f"{self.folder}/{name}")
+        self._open.move_to_end(name)
+        return self._open[name]
+
+
+def by_shard(where: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places) of each shard that occurs; those below 0 are left out."""
+    if n < 1 << 15:
+        where = where.astype(np.int16)  # sorted by digits
+    if len(where) < 2 or (where[1:] >= where[:-1]).all():
+        order = np.arange(len(where))
+    else:
+        order = np.argsort(where, kind="stable")
+    at = np.searchsorted(where[order], np.arange(n + 1))
+    for s in np.flatnonzero(np.diff(at)).tolist():
+        yield s, order[at[s] : at[s + 1]]
+
+
 class Lookup:
     """Sorted arrays in the shared folder, one file for each shard, found by binary search.
 
@@ -230,38 +267,31 @@ class Lookup:
     """
 
     def __init__(self, folder: str, sizes: dict[int, int], n_shards: int, columns: dict[str, str]):
-        self.folder, self.sizes, self.n, self.columns = folder, sizes, n_shards, columns
+        self.maps, self.sizes, self.n, self.columns = Maps(folder), sizes, n_shards, columns
         self.base = np.cumsum(np.r_[0, [sizes.get(s, 0) for s in range(n_shards)]])
         self.total = 0
-        self._open: dict[int, dict[str, np.ndarray]] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
 
     @staticmethod
     def save(folder: str, shard: int, keys: np.ndarray, *values: np.ndarray) -> None:
         put(f"{folder}/{shard:06d}", [keys.tobytes(), *(v.tobytes() for v in values)])
 
     def shard(self, s: int) -> dict[str, np.ndarray]:
-        if s not in self._open:
-            raw, n, at, got = mapped(f"{self.folder}/{s:06d}"), self.sizes[s], 0, {}
-            for name, kind in {"key": "u8", **self.columns}.items():
-                width = np.dtype(kind).itemsize * n
-                got[name] = raw[at : at + width].view(kind)
-                at += width
-            self._open[s] = got
-        return self._open[s]
-
-    def find(self, keys: np.ndarray, shard: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        """For each key whether it is there (found), its rank among all keys and its values (0 where it isn't)."""
+        raw, n, at, got = self.maps.get(f"{s:06d}"), self.sizes[s], 0, {}
+        for name, kind in {"key": "u8", **self.columns}.items():
+            width = np.dtype(kind).itemsize * n
+            got[name] = raw[at : at + width].view(kind)
+            at += width
+        return got
+
+    def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        """For each key whether it is there (found), its rank among all keys and its values (0 where it isn't).
+
+        Keys in order are found much faster.
+        """
         out = {"found": np.zeros(len(keys), bool), "rank": np.zeros(len(keys), np.int64)} | {c: np.zeros(len(keys), k) for c, k in self.columns.items()}
-        where = shard_of(keys, self.n) if shard is None else shard
-        order = np.lexsort((keys, where))
-        at = np.searchsorted(where[order], np.arange(self.n + 1))
-        for s in np.flatnonzero(np.diff(at)).tolist():
+        for s, part in by_shard(shard_of(keys, self.n), self.n):
             if not self.sizes.get(s):
                 continue
-            part = order[at[s] : at[s + 1]]
             own, q = self.shard(s), keys[part]
             pos = np.searchsorted(own["key"], q)
             pos[pos == len(own["key"])] = 0
