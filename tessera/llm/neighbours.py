@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by inner product, with a robust-pruned directed graph for each shard.
 
-Vectors are dealt to shards of about ``shard_rows`` by a hash of their id.  A shard's graph is built by
+Vectors are dealt by a hash of their id to shards as large as a task's memory allows (``shard_bytes`` of vectors),
+so that a query's work grows with the logarithm of a shard and only then with the number of shards.  A shard's graph is built by
 inserting nodes in growing batches: a greedy beam search over the graph so far proposes neighbours, and
 pruning keeps the nearest, then only such that no kept one is much nearer to them (by the factor alpha) than
 the node itself; edges back are pruned in the same way.  Inner product becomes distance by one more
 component that makes all vectors equally long.  Pruning keeps an edge to one of equal vectors only, so a
 shard's graph has each vector once, with the sorted ids of all its copies beside it.
 
-Graphs and vectors are files in the shared folder.  A task with queries maps the shards one after the
-other, beam-searches each and keeps the best of all; what was found is scored on the original vectors.
+Graphs and vectors are files in the shared folder.  Queries go to every shard: blocks of them are dealt out with a
+shard's number, a task maps its shard once and beam-searches it, what was found is scored on the original
+vectors, and the best of each shard are ranked under a limit that Spark applies before the exchange too.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks
 
-FOUND = "query_id long, rank int, vec_id long, score double"
+FOUND = "query_id long, mark long, copies long, vec_id long, score double"
+#: Bytes of the table of visited nodes for the queries that step together.
+VISITED = 1 << 26
 
 
 def _lengthened(x: np.ndarray) -> np.ndarray:
@@ -40,7 +44,9 @@ def beam(x: np.ndarray, near: np.ndarray, q: np.ndarray, starts: np.ndarray, wid
 
     Squared distances are sums over differences: vectors that lie very close keep their order.
     """
-    n_q = len(q)
+    n_q, block = len(q), max(16, VISITED // max(1, len(x)))
+    if n_q > block:
+        return np.concatenate([beam(x, near, q[a : a + block], starts, width, wide) for a in range(0, n_q, block)])
     ids, dist, done = np.full((n_q, width), -1), np.full((n_q, width), np.inf, "f4"), np.ones((n_q, width), bool)
     seen = np.zeros((n_q, len(x)), bool)
     seen[:, starts] = True
@@ -183,19 +189,21 @@ def _matrix(col: pa.Array, kind: str) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 8192, width: int = 192, degree: int = 40, build_width: int = 96, alpha: float = 1.2) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_bytes: int = 64 << 20, width: int = 192, degree: int = 40, build_width: int = 96, alpha: float = 1.2) -> DataFrame:
     """The k nearest of each query: query_id, rank (from 1), vec_id, score (inner product in double precision).
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows with another vec_id and
-    as many components.  Ties go to the smaller vec_id.  Rows that repeat a vec_id are candidates each.  Unusable
-    vectors take no part; without usable ones there are no rows.
+    as many components.  Ties go to the smaller vec_id (among what the search found: different vectors with equal
+    products, more of them than the beam is wide, may be missed like any other).  Rows that repeat a vec_id are
+    candidates each and queries each.  Unusable vectors take no part; without usable ones there are no rows.
     """
     spark = vectors.sparkSession
     folder = blocks.shared_dir(spark, "neighbours")
     rows = usable(vectors)
     kind = "f4" if dict(rows.dtypes)["v"] == "array<float>" else "f8"
     sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row per number of components
-    n_shards = max(1, *(-(-n // shard_rows) for n in sizes.values())) if sizes else 1
+    shards = {dim: max(1, -(-n * dim * np.dtype(kind).itemsize // shard_bytes)) for dim, n in sizes.items()}
+    n_shards = F.create_map(*(F.lit(x) for d, n in shards.items() for x in (d, n)))[F.col("dim")] if shards else F.lit(1)
 
     def index(key: tuple, table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
@@ -203,38 +211,40 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int =
         n = Graph.save(folder, key[1].as_py(), t.column("vec_id").to_numpy(), v, degree=degree, width=build_width, alpha=alpha)
         return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([n], pa.int64())})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")).repartition(n_shards, "dim", "shard")
-    made = [tuple(r) for r in dealt.groupBy("dim", "shard").applyInArrow(index, "dim int, shard int, n long").collect()]  # one row per shard
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), n_shards).cast("int")).repartition(max(1, sum(shards.values())), "dim", "shard")
+    made = dealt.groupBy("dim", "shard").applyInArrow(index, "dim int, shard int, n long")
+    made = {(r.dim, r.shard): r.n for r in made.collect()}  # a small row for each shard
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, graph = None, None
         for batch in batches:
-            ids, dims = blocks.column(batch, "vec_id"), blocks.column(batch, "dim")
-            for dim in np.unique(dims).tolist():
-                own = np.flatnonzero(dims == dim)
-                for a in range(0, len(own), 512):
-                    part = own[a : a + 512]
-                    q, q_ids = _matrix(batch.column(1).take(pa.array(part)), kind), ids[part]
-                    row, best_id, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-                    place = row
-                    for d, s, n in made:
-                        if d != dim:
-                            continue
-                        g = Graph(folder, s, n, d, kind)
-                        at = g.search(q, min(width, n))
-                        r, c = np.nonzero(at >= 0)
-                        node = at[r, c]
-                        score = np.einsum("ij,ij->i", g.vectors[node].astype(float), q[r].astype(float))
-                        own_id, take = g.copies(node, k)
-                        r, score = np.repeat(r, take), np.repeat(score, take)
-                        some = (own_id != q_ids[r]) & np.isfinite(score)
-                        row, best_id, best = np.r_[row, r[some]], np.r_[best_id, own_id[some]], np.r_[best, score[some]]
-                        order = np.lexsort((best_id, -best, row))
-                        row, best_id, best = row[order], best_id[order], best[order]
-                        place = np.arange(len(row)) - np.searchsorted(row, row)
-                        some = place < k
-                        row, best_id, best, place = row[some], best_id[some], best[some], place[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array((place + 1).astype(np.int32)), pa.array(best_id), pa.array(best)], [x.split()[0] for x in FOUND.split(", ")])
-
+            names = ("vec_id", "mark", "copies", "dim", "shard")
+            ids, marks, copies, dims, shard = (blocks.column(batch, c) for c in names)
+            place = dims << 32 | shard
+            for a, b in zip(*(lambda cut: (np.r_[0, cut], np.r_[cut, len(place)]))(np.flatnonzero(np.diff(place)) + 1), strict=True):
+                dim, s = int(dims[a]), int(shard[a])
+                if (dim, s) != now:
+                    now, graph = (dim, s), Graph(folder, s, made[dim, s], dim, kind)
+                q = _matrix(batch.column(batch.schema.get_field_index("v")).slice(a, b - a), kind)
+                at = graph.search(q, min(width, made[now]))
+                r, c = np.nonzero(at >= 0)
+                node = at[r, c]
+                score = np.einsum("ij,ij->i", graph.vectors[node].astype(float), q[r].astype(float))
+                found, take = graph.copies(node, k)
+                r, score = np.repeat(r, take), np.repeat(score, take)
+                some = (found != ids[a + r]) & np.isfinite(score)
+                r, found, score = r[some], found[some], score[some]
+                order = np.lexsort((found, -score, r))
+                order = order[np.arange(len(order)) - np.searchsorted(r[order], r[order]) < k]
+                r = a + r[order]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], marks[r], copies[r], found[order], score[order])], [x.split()[0] for x in FOUND.split(", ")])
+
+    # equal rows are one query; others with the same id are told apart by their vectors' hash
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "dim", "v").agg(F.count("*").alias("copies")).withColumn("mark", F.xxhash64("v"))
+    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards.cast("int") - 1)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    queries = rows.filter(F.col("vec_id") % every == 0).repartition(n, "vec_id")
-    return queries.mapInArrow(search, FOUND)
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, n // max(1, sum(shards.values())))))
+    found = queries.repartition(n, "dim", "shard", block).sortWithinPartitions("dim", "shard").mapInArrow(search, FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
+    best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_")).drop("_")

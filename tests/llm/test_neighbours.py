@@ -23,7 +23,7 @@ def test_recall_and_scores(spark):
     x = np.r_[centre[rng.integers(0, 10, 1500)] + 0.4 * rng.normal(size=(1500, 24)), centre[:1] + 1e-3 * rng.normal(size=(700, 24)), rng.normal(size=(300, 24)) * 3].astype("f4")
     ids = rng.permutation(len(x))
     got, hit, n = {}, 0, 0
-    for r in nearest(frame(spark, ids, x), shard_rows=800).collect():
+    for r in nearest(frame(spark, ids, x), shard_bytes=800 * 4 * x.shape[1]).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     for q, want in brute(ids, x, 20, 20):
         own = sorted(got[q])
@@ -42,6 +42,9 @@ def test_odd_rows(spark):
     zero = [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 5, 0.5), (0, 4, -20, 0.0), (0, 5, 5, -1.0)]
     assert [g for g in got if g[0] == 0] == zero
     assert [g[2] for g in got if g[0] == -20] == [5, 0, 1, 2, 5] and {g[0] for g in got} == {0, -20}
+    twice = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [2.0, 1.0])]
+    got = sorted(tuple(r) for r in nearest(spark.createDataFrame(twice, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 7, 1.0), (0, 1, 7, 2.0), (0, 1, 7, 2.0)]
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -55,7 +58,7 @@ def test_many_exact_copies(spark):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
     ids = rng.permutation(len(x))
     got = {}
-    for r in nearest(frame(spark, ids, x), shard_rows=800).collect():
+    for r in nearest(frame(spark, ids, x), shard_bytes=800 * 4 * x.shape[1]).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     copies = set(ids[:900].tolist())
     n = 0
