@@ -32,9 +32,9 @@ BASE = {
 }
 EXTRA = {
     "email_like": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)++",
-    "key": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "phone_like": r"(?<![0-9+.() -])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
-    "secret": r"(?i)(?<![a-z])(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?[a-z0-9+/_-]{12,200}",
+    "secret": r"(?i)(?<![a-z])(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?[a-z0-9+/_-]{12,}+",
 }
 KINDS = [*BASE, *EXTRA]
 #: Characters without which a pattern cannot match.
@@ -57,7 +57,7 @@ KNOWN = {
     "card": (r"^(4|5[1-5]|2[2-7]|3[47]|6)", r"^([0178]|9)"),
     "phone": (r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+0"),
     "email_like": (r"(?i)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$", r"^$"),
-    "key": (r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$", r"^(.)\1+$"),
+    "key": (r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$", r"^(.)\1+$"),
     "phone_like": (r"^\(?[2-9][0-8][0-9]", r"^\(?[01]"),
     "secret": (r"(?i)^(token|password|passwd|secret|api.?key|access.?key)", r"(?i)(xxxx|example|changeme|your)"),
 }
@@ -67,16 +67,36 @@ VOTES = ["regex", "gazetteer", "context", "neighbours", "content"]
 SPAN = "struct<kind:string,start:bigint,end:bigint,match:string,before:string,after:string>"
 
 
-def _running(sizes: Column, width: int = 256) -> Column:
-    """Running sums of an array of longs, by blocks, so that long arrays are not copied for each element."""
-    fold = lambda a, first: F.aggregate(
-        a, F.struct(first.alias("s"), F.array().cast("array<bigint>").alias("all")),
-        lambda acc, x: F.struct((acc.s + x).alias("s"), F.concat(acc["all"], F.array(acc.s + x)).alias("all")), lambda acc: acc["all"],
-    )
-    zero = F.lit(0).cast("bigint")
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(width)), lambda a: F.slice(sizes, a, width))
-    sums = fold(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x)), zero)
-    return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), F.concat(F.array(zero), sums).alias("s")), lambda z: F.when(z["p"].isNotNull(), fold(z["p"], z["s"])).otherwise(F.array().cast("array<bigint>"))))
+def _scan(values: Column, step, width: int = 256) -> Column:
+    """Running sums, maxima or the like (step of two longs) of an array of longs from 0 on.
+
+    By blocks, so that an array is never copied for each of its elements.
+    """
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
+
+    def fold(a: Column, first: Column) -> Column:
+        add = lambda acc, x: F.struct(step(acc.s, x).alias("s"), F.concat(acc["all"], F.array(step(acc.s, x))).alias("all"))
+        return F.aggregate(a, F.struct(first.alias("s"), none.alias("all")), add, lambda acc: acc["all"])
+
+    def run(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(width)), lambda a: F.slice(v, a, width))
+        firsts = F.concat(F.array(zero), fold(F.transform(parts, lambda p: F.aggregate(p, zero, step)), zero))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), firsts.alias("s")), lambda z: F.when(z["p"].isNotNull(), fold(z["p"], z["s"])).otherwise(none)))
+
+    return F.get(F.transform(F.array(values), run), F.lit(0))  # the lambda's variable: values are computed once
+
+
+def _sums(values: Column) -> Column:
+    return _scan(values, lambda a, x: a + x)
+
+
+def _tops(values: Column) -> Column:
+    return _scan(values, lambda a, x: F.greatest(a, x))
+
+
+def _before(running: Column) -> Column:
+    """What a running value was before each element."""
+    return F.concat(F.array(F.lit(0).cast("bigint")), F.slice(running, F.lit(1), F.greatest(F.size(running) - 1, F.lit(0))))
 
 
 def _digits(c: Column) -> Column:
@@ -106,38 +126,65 @@ def _content(kind: str, m: Column) -> Column:
     return F.length(m) <= 254
 
 
-def _found(text: Column, kind: str, steps: DataFrame) -> DataFrame:
+def _found(steps: DataFrame, kind: str, name) -> DataFrame:
     """Add the column of a kind's matches, in place; each regex runs once for the gaps and once for the matches."""
-    rx = (BASE | EXTRA)[kind]
+    rx, text, m, g, e = (BASE | EXTRA)[kind], F.col(name("t")), name("m"), name("g"), name("e")
     may = F.lit(True)
     if kind in NEEDS:
         may = F.lit(False)
         for x in NEEDS[kind]:
             may = may | F.contains(text, F.lit(x))
     if kind in ("ip", "card", "phone_like", "key"):
-        may = may & F.col("_digits")
+        may = may & F.col(name("digits"))
     none = F.array().cast("array<string>")
-    steps = steps.withColumn("_m", F.when(may, F.regexp_extract_all(text, F.lit(rx), F.lit(0))).otherwise(none))
-    steps = steps.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, rx, -1)).otherwise(none))
-    steps = steps.withColumn("_e", F.when(F.size("_m") > 0, _running(F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda g, m: (F.length(g) + F.length(m)).cast("bigint")))).otherwise(F.array().cast("array<bigint>")))
-    z = F.arrays_zip(F.col("_m"), F.col("_e"), F.slice("_g", 1, F.size("_m")).alias("b"), F.transform(F.slice("_g", 2, F.size("_m") + 1), lambda g: F.left(g, F.lit(1))).alias("a"))
+    steps = steps.withColumn(m, F.when(may, F.regexp_extract_all(text, F.lit(rx), F.lit(0))).otherwise(none))
+    steps = steps.withColumn(g, F.when(F.size(m) > 0, F.split(text, rx, -1)).otherwise(none))
+    sizes = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda x, y: (F.length(x) + F.length(y)).cast("bigint"))
+    steps = steps.withColumn(e, F.when(F.size(m) > 0, _sums(sizes)).otherwise(F.array().cast("array<bigint>")))
+    z = F.arrays_zip(F.col(m).alias("m"), F.col(e).alias("e"), F.slice(g, 1, F.size(m)).alias("b"), F.transform(F.slice(g, 2, F.size(m) + 1), lambda x: F.left(x, F.lit(1))).alias("a"))
     spans = F.transform(z, lambda s: F.struct(
-        F.lit(kind).alias("kind"), (s["_e"] - F.length(s["_m"])).alias("start"), s["_e"].alias("end"), s["_m"].alias("match"), F.right(s["b"], F.lit(40)).alias("before"), s["a"].alias("after"),
+        F.lit(kind).alias("kind"), (s["e"] - F.length(s["m"])).alias("start"), s["e"].alias("end"), s["m"].alias("match"), F.right(s["b"], F.lit(40)).alias("before"), s["a"].alias("after"),
     ))
     if kind in BASE and kind != "email":
         spans = F.filter(spans, lambda s: _content(kind, s["match"]))
-    return steps.withColumn(f"_{kind}", spans.cast(f"array<{SPAN}>")).drop("_m", "_g", "_e")
+    return steps.withColumn(name(kind), spans.cast(f"array<{SPAN}>")).drop(m, g, e)
+
 
+def _kept(steps: DataFrame, base: str, more: str, name) -> DataFrame:
+    """Of the candidates in ``more`` those that neither overlap a base span nor lie in a longer candidate.
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with ``base`` (spans that stay) and ``extra`` (candidates that neither overlap them nor lie in a longer one), each in order of kind and start."""
-    out = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_digits", F.rlike("_t", F.lit("[0-9]")))
+    Two sweeps over sorted places, each with a running maximum; no span is compared with all others.
+    """
+    long = lambda c: c.cast("bigint")
+    places, tops, order, wide = name("places"), name("tops"), name("order"), name("wide")
+    # base spans by their start; a candidate stands where it ends, before base spans that start there
+    steps = steps.withColumn(places, F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b.start.alias("at"), F.lit(1).alias("base"), b.end.alias("end"), F.lit(-1).alias("i"))),
+        F.transform(more, lambda x, i: F.struct(x.end.alias("at"), F.lit(0).alias("base"), long(F.lit(0)).alias("end"), i.alias("i"))),
+    )))
+    steps = steps.withColumn(tops, _tops(F.transform(places, lambda p: p["end"])))
+    steps = steps.withColumn(places, F.filter(F.zip_with(places, tops, lambda p, t: F.struct(p["i"].alias("i"), t.alias("top"))), lambda p: p["i"] >= 0))
+    # candidates by start, longer ones first; the running maximum is of (end, -start) in one number
+    shift = long(F.lit(1 << 31))
+    steps = steps.withColumn(order, F.array_sort(F.transform(more, lambda x, i: F.struct(x.start.alias("start"), (-x.end).alias("end"), i.alias("i")))))
+    steps = steps.withColumn(wide, _before(_tops(F.transform(order, lambda o: -o["end"] * shift + (shift - 1 - o["start"])))))
+    steps = steps.withColumn(order, F.zip_with(order, wide, lambda o, w: F.struct(o["i"].alias("i"), (w > -o["end"] * shift + (shift - 1 - o["start"])).alias("inner"))))
+    marks = F.zip_with(F.array_sort(places), F.array_sort(order), lambda p, o: F.struct(p["top"].alias("top"), o["inner"].alias("inner")))
+    clear = F.filter(F.zip_with(more, marks, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda z: (z["k"]["top"] <= z["x"]["start"]) & ~z["k"]["inner"])
+    return steps.withColumn(more, F.transform(clear, lambda z: z["x"])).drop(places, tops, order, wide)
+
+
+def candidates(docs: DataFrame, base: str = "base", extra: str = "extra") -> DataFrame:
+    """docs with ``base`` (spans that stay) and ``extra`` (candidates that neither overlap them nor lie in a longer one), each in order of kind and start.
+
+    Null and empty texts have no spans. The two names must not be columns of docs; no other name is touched.
+    """
+    name = lambda x: blocks.unused([*docs.columns, base, extra], f"_{x}")
+    out = docs.withColumn(name("t"), F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn(name("digits"), F.rlike(name("t"), F.lit("[0-9]")))
     for kind in KINDS:
-        out = _found(F.col("_t"), kind, out)
-    out = out.withColumn("base", F.concat(*(F.col(f"_{k}") for k in BASE))).withColumn("_x", F.concat(*(F.col(f"_{k}") for k in EXTRA)))
-    wider = lambda x: F.exists(F.col("_x"), lambda y: (y.start <= x.start) & (y.end >= x.end) & (y.end - y.start > x.end - x.start))
-    clear = F.filter("_x", lambda x: ~F.exists(F.col("base"), lambda b: (b.start < x.end) & (x.start < b.end)) & ~wider(x))
-    return out.withColumn("extra", F.when(F.size("_x") > 0, clear).otherwise(F.col("_x"))).drop("_t", "_digits", "_x", *(f"_{k}" for k in KINDS))
+        out = _found(out, kind, name)
+    out = out.withColumn(base, F.concat(*(F.col(name(k)) for k in BASE))).withColumn(extra, F.concat(*(F.col(name(k)) for k in EXTRA)))
+    return _kept(out, base, extra, name).drop(name("t"), name("digits"), *(name(k) for k in KINDS))
 
 
 def _by_kind(kind: Column, make) -> Column:
@@ -226,9 +273,9 @@ def logistic(cells: list[tuple[list[str], float, float]], rounds: int = 300, rat
     return w
 
 
-def fit(found: DataFrame) -> tuple[Labels, dict[str, float]]:
+def fit(found: DataFrame, base: str = "base", extra: str = "extra") -> tuple[Labels, dict[str, float]]:
     """EM and then the classifier, from a frame with base and extra. Without candidates, nothing is accepted."""
-    spans = found.select(F.explode(F.concat("base", "extra")).alias("s"))
+    spans = found.select(F.explode(F.concat(base, extra)).alias("s"))
     # at most (kinds) x 3^5 patterns times the feature cells of five small categories
     cells = spans.select(F.col("s.kind").alias("kind"), F.array(*features(F.col("s"))).alias("f"), F.array(*votes(F.col("s"))).alias("v")).groupBy("kind", "v", "f").count().collect()
     by_pattern: dict[tuple, int] = {}
@@ -239,12 +286,12 @@ def fit(found: DataFrame) -> tuple[Labels, dict[str, float]]:
     return labels, logistic(soft)
 
 
-def accepted(weights: dict[str, float]) -> Column:
+def accepted(weights: dict[str, float], base: str = "base", extra: str = "extra") -> Column:
     """All spans of a row with base and extra that stay, in order of kind and start."""
     table = F.create_map(*(x for f, w in sorted(weights.items()) for x in (F.lit(f), F.lit(float(w)))))
     score = lambda s: F.aggregate(F.array(*features(s)), F.lit(float(weights[""])), lambda a, f: a + F.coalesce(table[f], F.lit(0.0)))
-    more = F.when(F.size("extra") > 0, F.filter("extra", lambda s: score(s) >= 0)).otherwise(F.col("extra"))
-    return F.concat("base", more)
+    more = F.when(F.size(extra) > 0, F.filter(extra, lambda s: score(s) >= 0)).otherwise(F.col(extra))
+    return F.concat(base, more)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -258,17 +305,28 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "base", accepted(fit(found)[1]).alias("spans"))
 
 
-def redacted(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """docs with every span of its text replaced by its kind in brackets, and n_chars of the new text."""
-    found = candidates(docs).withColumn("_s", accepted(weights))
-    found = found.withColumn("_s", F.array_sort("_s", lambda a, b: F.when((a.start < b.start) | ((a.start == b.start) & (a.end > b.end)), -1).when((a.start == b.start) & (a.end == b.end), 0).otherwise(1)))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    piece = lambda acc, s: F.substr(F.col("text"), (acc.at + 1).cast("int"), (s.start - acc.at).cast("int"))
-    step = lambda acc, s: F.when(s.start >= acc.at, F.struct(s.end.alias("at"), F.concat(acc.out, F.array(piece(acc, s), F.concat(F.lit("["), F.upper(s.kind), F.lit("]")))).alias("out"))).otherwise(acc)
-    whole = F.aggregate("_s", start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(F.col("text"), (acc.at + 1).cast("int"), F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("_s") > 0, whole).otherwise(F.col("text")))
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with every span of its text replaced by its kind in brackets, and n_chars (if there) of the new text.
+
+    Spans that overlap are replaced as one, under the kind of the first and longest. Texts without spans stay as
+    they are, null ones too. What was found is written to the shared folder, so texts are scanned once.
+    """
+    base, extra, spans, tops, ends, wide = (blocks.unused(docs.columns, f"_{x}") for x in ("base", "extra", "spans", "tops", "ends", "wide"))
+    found = blocks.written(candidates(docs, base, extra), f"{blocks.shared_dir(docs.sparkSession, 'pii')}/found")
+    some = found.withColumn(spans, F.array_sort(F.transform(accepted(fit(found, base, extra)[1], base, extra), lambda s: F.struct(s.start.alias("start"), (-s.end).alias("end"), s.kind.alias("kind")))))
+    some = some.withColumn(tops, _tops(F.transform(spans, lambda s: -s["end"])))
+    # the first span of each run that overlaps, and where the run before it ended
+    heads = F.zip_with(spans, _before(F.col(tops)), lambda s, t: F.struct(s["start"].alias("start"), t.alias("from"), s["kind"].alias("kind")))
+    some = some.withColumn(spans, F.filter(heads, lambda h: h["start"] >= h["from"]))
+    # by code points: four bytes each, so that a piece is cut out without walking through the text before it
+    some = some.withColumn(wide, F.encode(F.col("text").cast("string"), "UTF-32"))
+    cut = lambda a, n: F.decode(F.substring(F.col(wide), (4 * a + 1).cast("int"), (4 * n).cast("int")), "UTF-32")
+    pieces = F.transform(spans, lambda h: F.concat(cut(h["from"], h["start"] - h["from"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
+    last = F.array_max(tops)
+    whole = F.concat(F.array_join(pieces, ""), cut(last, F.length(F.col(wide)) / 4 - last))
+    out = some.withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text")).cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_s") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
