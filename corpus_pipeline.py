@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks
-from tessera.llm.contamination import with_hits
+from tessera.llm.contamination import RESULT, with_hits
 from tessera.llm.packing import pack, pieces
-from tessera.llm.pii import candidates, fit, redacted
+from tessera.llm.pii import redacted
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.similarity import first_of_groups
 from tessera.llm.toxicity import train, with_scores
@@ -33,14 +33,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in an occurrence of a benchmark window (9)."""
-    hits = with_hits(docs.select("doc_id", "text", *(F.col(c).alias(f"_{c}") for c in docs.columns if c not in ("doc_id", "text"))), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return hits.filter(~F.col("contaminated")).select(*(F.col(c if c in ("doc_id", "text") else f"_{c}").alias(c) for c in docs.columns))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    kept = {c: blocks.unused([*docs.columns, *RESULT], f"_{c}") for c in docs.columns if c not in ("doc_id", "text")}
+    hits = with_hits(docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in kept.items())), benchmark)
+    return hits.filter(~F.col("contaminated")).select(*(F.col(kept.get(c, c)).alias(c) for c in docs.columns))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data (4) replaced by its kind in brackets; n_chars follows."""
-    found = blocks.written(candidates(docs).select("base", "extra"), f"{blocks.shared_dir(spark, 'pipeline-pii')}/candidates")
-    return redacted(docs, fit(found)[1])
+    return redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
