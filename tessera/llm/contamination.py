@@ -1,12 +1,14 @@
 """Benchmark decontamination as a prefix-filtered containment join.
 
-The sets are windows of ``size`` consecutive item words (a shorter item is one window).  Full containment
-leaves a prefix of one token: each window's rarest word, by its count over all documents.  Documents
-are joined on that word; the place of the word in the window bounds where the window can start, the
-document's length bounds where it can end, and what is left is verified word by word (by hashes of the
-whole window, then of its words).
-
-The benchmark's words and windows are arrays in the shared folder; documents never leave their partition.
+The sets are the word shingles (``shingle`` words) of windows of ``size`` consecutive item words; a shorter item is
+one window, and one shorter than a shingle is its own shingle.  Shingles are ordered by how often all documents
+have them.  Since a window must be contained as a whole, its necessary prefix is one shingle, the rarest;
+windows with a shingle that no document has are in none.  Documents are joined with windows on that shingle; its
+place in the window bounds where the window can start, the document's length bounds where it can end; the
+hash of the whole window and then its words, as they are, verify what is left.
+
+Shingles, their counts and the windows by prefix are dealt by hash to shards, each a sorted file in the shared
+folder; no task holds the whole benchmark, and documents never leave their partition.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from pyspark.sql import types as T
 from tessera.llm import blocks
 
 FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
+RESULT = [x.split()[0] for x in FOUND.split(", ")]
+#: A null item_id among sorted numbers.
+NONE = np.iinfo(np.int64).min
 
 
 def _split(raw: list[bytes]) -> list[list[bytes]]:
@@ -34,32 +39,73 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
 
 
 def item_windows(items: DataFrame, size: int = 10) -> DataFrame:
-    """One row per distinct (item, window): id, n (words), h (their hashes, 8 bytes each)."""
+    """One row per distinct (item, window): id, n (words), words (joined by a blank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = blocks.Words()
         for part, raw in blocks.chunks(batches):
-            ids, ns, hs = [], [], []
+            ids, ns, own = [], [], []
             for doc, words in zip(part.column(0).to_pylist(), _split(raw), strict=True):
-                h, n = b"".join(map(cache.__getitem__, words)), min(size, len(words))
-                for w in {h[8 * i : 8 * (i + n)] for i in range(len(words) - n + 1)} if n else ():
-                    ids.append(doc), ns.append(n), hs.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(hs, pa.binary())], ["id", "n", "h"])
+                n = min(size, len(words))
+                for w in {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else ():
+                    ids.append(doc), ns.append(n), own.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(own, pa.binary())], ["id", "n", "words"])
+
+    return _texts(items, "item_id").mapInArrow(run, "id long, n int, words binary").distinct()
+
+
+def _by_length(batch: pa.RecordBatch, shingle: int, cache: blocks.Words) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """For the windows (columns n, words) of each length: their rows, the length, their shingles and their hashes."""
+    lengths = batch.column(batch.schema.get_field_index("n")).to_numpy()
+    texts = batch.column(batch.schema.get_field_index("words")).to_pylist()
+    for n in np.unique(lengths).tolist():
+        rows, k = np.flatnonzero(lengths == n), min(shingle, n)
+        h, _ = blocks.hashed([texts[i].split() for i in rows], cache)
+        at = np.arange(len(rows)) * n
+        yield rows, n, blocks.windows(h, k)[at[:, None] + np.arange(n - k + 1)], blocks.windows(h, n)[at]
+
+
+class Filter:
+    """Whether a hash may be a key of a lookup, by its high bits: a table of fixed size, right for any number of keys."""
 
-    return _texts(items, "item_id").mapInArrow(run, "id long, n int, h binary").distinct()
+    BITS = 23
+
+    def __init__(self, keys: Iterator[np.ndarray]):
+        self.table = np.zeros(1 << self.BITS, bool)
+        for x in keys:
+            self.table[x >> blocks.U64(64 - self.BITS)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        return self.table[h >> blocks.U64(64 - self.BITS)]
 
 
 class Index:
-    """Windows by their rarest word, from the arrays in the shared folder."""
+    """Windows by their prefix, from a file for each shard; sizes: numbers of windows, items and bytes of words.
 
-    def __init__(self, folder: str):
-        def read(name: str, kind: str) -> np.ndarray:
-            return blocks.mapped(f"{folder}/{name}").view(kind)
+    A shard has, in the order of prefixes: token, whole (hash of the window), first (place of its items), start (of its
+    words), place (of the prefix in it) and n; then the items and the words.
+    """
 
-        self.vocabulary = read("vocabulary", "u8")
-        self.rare, self.place, self.n, self.whole = read("rare", "u8"), read("place", "i4"), read("n", "i4"), read("whole", "u8")
-        self.words, self.items = read("words", "u8"), read("items", "i8")
-        self.starts = np.cumsum(np.r_[0, self.n])[:-1] if len(self.n) else np.empty(0, np.int64)
+    def __init__(self, folder: str, sizes: dict[int, tuple[int, int, int]], n_shards: int):
+        self.maps, self.sizes, self.n = blocks.Maps(folder), sizes, n_shards
+
+    @staticmethod
+    def save(folder: str, shard: int, rows: list[tuple]) -> tuple[int, int, int]:
+        """rows: (token, words, place, n, whole, item), of which equal windows become one."""
+        rows.sort(key=lambda r: (r[0], r[1], r[5]))
+        new = [i for i, r in enumerate(rows) if i == 0 or rows[i - 1][:2] != r[:2]]
+        token, words, place, n, whole, _ = zip(*(rows[i] for i in new), strict=True)
+        start = np.cumsum([0, *map(len, words)])
+        columns = [np.array(token, "u8"), np.array(whole, "u8"), np.array([*new, len(rows)], "u8"), start.astype("u8"), np.array(place, "i4"), np.array(n, "i4"), np.array([r[5] for r in rows], "i8")]
+        blocks.put(f"{folder}/{shard:06d}", [*(x.tobytes() for x in columns), *words])
+        return len(new), len(rows), int(start[-1])
+
+    def shard(self, s: int) -> dict[str, np.ndarray]:
+        raw, (w, i, _), at, got = self.maps.get(f"{s:06d}"), self.sizes[s], 0, {}
+        for name, kind, n in (("token", "u8", w), ("whole", "u8", w), ("first", "u8", w + 1), ("start", "u8", w + 1), ("place", "i4", w), ("n", "i4", w), ("items", "i8", i)):
+            width = np.dtype(kind).itemsize * n
+            got[name] = raw[at : at + width].view(kind)
+            at += width
+        return got | {"words": raw[at:]}
 
 
 def _spread(at: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -67,109 +113,138 @@ def _spread(at: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(at - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+class Chunk:
+    """Words of some documents and where each document starts and ends among them."""
+
+    def __init__(self, raw: list[bytes], cache: blocks.Words):
+        self.words = _split(raw)
+        self.h, self.counts = blocks.hashed(self.words, cache)
+        self.ends = np.cumsum(self.counts)
+        self.firsts = self.ends - self.counts
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.kept: dict[int, np.ndarray] = {}
+
+    def windows(self, k: int) -> np.ndarray:
+        if k not in self.kept:
+            self.kept[k] = blocks.windows(self.h, k)
+        return self.kept[k]
+
+    def likely(self, k: int, may: Filter) -> np.ndarray:
+        """Places of shingles of k words that may be keys."""
+        return np.flatnonzero(may(self.windows(k)) & blocks.inside(self.counts, k))
+
+    def hits(self, index: Index, may: Filter, sizes: list[int], shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, places, windows) of all verified occurrences."""
+        for k in sizes:
+            places = self.likely(k, may)
+            keys = self.windows(k)[places]
+            for s, part in blocks.by_shard(blocks.shard_of(keys, index.n), index.n):
+                if s not in index.sizes:
+                    continue
+                own = index.shard(s)
+                lo, hi = np.searchsorted(own["token"], keys[part]), np.searchsorted(own["token"], keys[part], "right")
+                some = hi > lo
+                entry, at = _spread(lo[some], (hi - lo)[some]), np.repeat(places[part][some], (hi - lo)[some])
+                doc, n, at = self.doc[at], own["n"][entry], at - own["place"][entry]
+                ok = (at >= self.firsts[doc]) & (at + n <= self.ends[doc]) & (np.minimum(n, shingle) == k)
+                entry, at, n = entry[ok], at[ok], n[ok]
+                good = np.zeros(len(entry), bool)
+                for m in np.unique(n).tolist():
+                    same = np.flatnonzero(n == m)
+                    good[same] = self.windows(m)[at[same]] == own["whole"][entry[same]]
+                good[good] = [self.same_words(a, e, own) for a, e in zip(at[good].tolist(), entry[good].tolist(), strict=True)]
+                yield s, at[good], entry[good]
+
+    def same_words(self, at: int, entry: int, own: dict[str, np.ndarray]) -> bool:
+        doc = int(self.doc[at])
+        first = at - int(self.firsts[doc])
+        found = b" ".join(self.words[doc][first : first + int(own["n"][entry])])
+        return found == own["words"][int(own["start"][entry]) : int(own["start"][entry + 1])].tobytes()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 5) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array of item ids).
 
     Null and empty texts have no words and no hits; rows that repeat a doc_id each give a row; an empty
-    benchmark hits nothing; items without words have no window.
+    benchmark hits nothing; items without words have no window.  A null item_id is an item with an empty name.
     """
-    return with_hits(_texts(docs, "doc_id").withColumnRenamed("id", "doc_id"), items, size).drop("text")
+    return with_hits(_texts(docs, "doc_id").withColumnRenamed("id", "doc_id"), items, size, shingle).drop("text")
 
 
-def with_hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def with_hits(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 5) -> DataFrame:
     """docs (doc_id, text as string and any others) with what decontaminate() finds for each row."""
     spark = docs.sparkSession
-    folder = blocks.shared_dir(spark, "contamination")
+    folder, n_shards = blocks.shared_dir(spark, "contamination"), blocks.shards(spark)
     found = blocks.written(item_windows(items, size), f"{folder}/windows")
-    for name in ("vocabulary", "rare", "place", "n", "whole", "items", "words"):  # what an empty benchmark has
-        blocks.put(f"{folder}/{name}", [])
+    sizes = sorted({min(shingle, r.n) for r in found.select("n").distinct().collect()})  # numbers up to the shingle's
 
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.frombuffer(b"".join(b.column(0).to_pylist()), blocks.U64) for b in batches]
-        words = np.unique(np.concatenate([np.empty(0, blocks.U64), *seen]))
-        blocks.put(f"{folder}/vocabulary", [words.tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int64())], ["n"])
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, pending = blocks.Words(), blocks.Pending(n_shards)
+        for batch in batches:
+            for _, _, own, _ in _by_length(batch, shingle, cache):
+                if rows := pending.add(own.ravel()):
+                    yield blocks.payload(rows)
+        yield blocks.payload(pending.flush())
 
-    # the benchmark is a fixed list that does not grow with the corpus; its words fit one small array
-    found.select("h").distinct().coalesce(1).mapInArrow(vocabulary, "n long").collect()
+    vocabulary = blocks.kept_counts(found.mapInArrow(shingles, blocks.PAYLOAD), f"{folder}/vocabulary", n_shards, 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.array(blocks.mapped(f"{folder}/vocabulary").view("u8"))
-        total, cache = np.zeros(len(words), np.int64), blocks.Words()
+        cache, pending, may = blocks.Words(), blocks.Pending(n_shards), Filter(vocabulary.shard(s)["key"] for s, n in vocabulary.sizes.items() if n)
         for _, raw in blocks.chunks(batches):
-            h, _ = blocks.hashed(_split(raw), cache)
-            if len(words) and len(h):
-                at = np.searchsorted(words, h)
-                at[at == len(words)] = 0
-                total += np.bincount(at[words[at] == h], minlength=len(words))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(words[some].view("i8")), pa.array(total[some])], ["w", "c"])
-
-    rarity = _texts(docs, "doc_id").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        words = np.array(blocks.mapped(f"{folder}/vocabulary").view("u8"))
-        seen = np.zeros(len(words), np.int64)
-        for r in rows:
-            if r["h"] is None:
-                seen[np.searchsorted(words, np.int64(r["w"]).view("u8"))] = r["c"]
-        made = []
-        for r in rows:
-            if r["h"] is not None:
-                h = np.frombuffer(r["h"], "u8")
-                place = int(np.lexsort((h, seen[np.searchsorted(words, h)]))[0])
-                if seen[np.searchsorted(words, h[place])]:  # a word no document has: the window is in none
-                    made.append((int(h[place]), place, len(h), int(blocks.windows(h, len(h))[0]), r["h"], r["id"]))
-        made.sort(key=lambda x: (x[0], x[3], x[5] is None, x[5]))
-        rare, place, n, whole, h, item = map(list, zip(*made, strict=True)) if made else [[]] * 6
-        item = [np.iinfo(np.int64).min if x is None else x for x in item]
-        for name, x in (("rare", np.array(rare, "u8")), ("place", np.array(place, "i4")), ("n", np.array(n, "i4")), ("whole", np.array(whole, "u8")), ("items", np.array(item, "i8"))):
-            blocks.put(f"{folder}/{name}", [x.tobytes()])
-        blocks.put(f"{folder}/words", h)
-        yield pa.RecordBatch.from_arrays([pa.array([len(made)], pa.int64())], ["n"])
-
-    both = found.select("id", "h", F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("c")).unionByName(
-        rarity.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("h"), "w", "c")
-    )
-    both.coalesce(1).mapInArrow(index, "n long").collect()
+            chunk = Chunk(raw, cache)
+            for k in sizes:
+                keys = chunk.windows(k)[chunk.likely(k, may)]
+                if rows := pending.add(keys[vocabulary.find(keys)["found"]]):
+                    yield blocks.payload(rows)
+        yield blocks.payload(pending.flush())
+
+    counts = blocks.kept_counts(_texts(docs, "doc_id").mapInArrow(count, blocks.PAYLOAD), f"{folder}/counts", n_shards, 1)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = blocks.Words()
+        for batch in batches:
+            for rows, _, own, whole in _by_length(batch, shingle, cache):
+                c = counts.find(own.ravel())["c"].reshape(own.shape).astype(np.int64)
+                some = np.flatnonzero(c.min(1) > 0)  # a shingle that no document has: the window is in none
+                place = np.lexsort((own[some], c[some]))[:, 0] if len(some) else some
+                token, taken = own[some, place], batch.take(pa.array(rows[some]))
+                more = [pa.array(x) for x in (blocks.shard_of(token, n_shards).astype("i4"), token.view("i8"), place.astype("i4"), whole[some].view("i8"))]
+                yield pa.RecordBatch.from_arrays([*more, *taken.columns], ["shard", "token", "place", "whole", *taken.schema.names])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                item = NONE if r["id"] is None else r["id"]
+                of.setdefault(r["shard"], []).append((r["token"] % (1 << 64), r["words"], r["place"], r["n"], r["whole"] % (1 << 64), item))
+        made = [(s, *Index.save(f"{folder}/index", s, rows)) for s, rows in of.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in made], pa.int64()) for j in range(4)], ["shard", "w", "i", "b"])
+
+    dealt = found.mapInArrow(prefixes, "shard int, token long, place int, whole long, id long, n int, words binary").repartitionById(n_shards, "shard")
+    index = Index(f"{folder}/index", {r.shard: (r.w, r.i, r.b) for r in dealt.mapInArrow(build, "shard long, w long, i long, b long").collect()}, n_shards)  # a small row for each shard
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, cache = Index(folder), blocks.Words()
+        cache, may = blocks.Words(), Filter(index.shard(s)["token"] for s in index.sizes)
         for part, raw in blocks.chunks(batches):
-            h, counts = blocks.hashed(_split(raw), cache)
-            ends = np.repeat(np.cumsum(counts), counts)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            lo, hi = np.searchsorted(x.rare, h), np.searchsorted(x.rare, h, "right")
-            some = np.flatnonzero(hi > lo)
-            entry = _spread(lo[some], (hi - lo)[some])
-            at = np.repeat(some, (hi - lo)[some]) - x.place[entry]  # where the window would start
-            first = np.cumsum(counts)[doc[np.repeat(some, (hi - lo)[some])]] - counts[doc[np.repeat(some, (hi - lo)[some])]] if len(some) else np.empty(0, np.int64)
-            ok = (at >= first) & (at + x.n[entry] <= (ends[np.repeat(some, (hi - lo)[some])] if len(some) else at))
-            entry, at = entry[ok], at[ok]
-            good = np.ones(len(entry), bool)
-            for j in range(size):  # word by word; most candidates fall at the first other word
-                live = np.flatnonzero(good & (x.n[entry] > j))
-                good[live] = x.words[x.starts[entry[live]] + j] == h[at[live] + j]
-            entry, at = entry[good], at[good]
-            edge = np.zeros(len(h) + 1, np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + x.n[entry], -1)
+            chunk = Chunk(raw, cache)
+            edge = np.zeros(len(chunk.h) + 1, np.int64)
+            items: list[set[int]] = [set() for _ in chunk.counts]
+            for s, at, entry in chunk.hits(index, may, sizes, shingle):
+                own = index.shard(s)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + own["n"][entry], -1)
+                for d, e in {*zip(chunk.doc[at].tolist(), entry.tolist(), strict=True)}:
+                    items[d].update(own["items"][int(own["first"][e]) : int(own["first"][e + 1])].tolist())
             hit = np.cumsum(edge)[:-1] > 0
-            n_hit = np.bincount(doc[hit], minlength=len(counts))
-            items: list[set[int]] = [set() for _ in counts]
-            for d, e in zip(doc[at].tolist(), entry.tolist(), strict=True):
-                items[d].add(int(x.items[e]))
-            lists = [sorted("" if i == np.iinfo(np.int64).min else str(i) for i in s) for s in items]
+            n_hit = np.bincount(chunk.doc[hit], minlength=len(chunk.counts))
+            lists = [sorted("" if i == NONE else str(i) for i in s) for s in items]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *part.columns, pa.array(counts), pa.array(n_hit.astype(np.int64)), pa.array([len(s) for s in lists], pa.int64()),
+                    *part.columns, pa.array(chunk.counts), pa.array(n_hit.astype(np.int64)), pa.array([len(s) for s in lists], pa.int64()),
                     pa.array([hashlib.sha256(",".join(s).encode()).hexdigest() for s in lists], pa.string()), pa.array(n_hit > 0),
                     pa.array([sorted(s) for s in items], pa.list_(pa.int64())),
                 ],
-                [*part.schema.names, *found_names],
+                [*part.schema.names, *RESULT],
             )
 
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(FOUND).fields])
-    found_names = [f.name for f in schema.fields[len(docs.columns) :]]
-    return docs.mapInArrow(match, schema)
+    return docs.mapInArrow(match, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(FOUND).fields]))

@@ -37,6 +37,19 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute(docs, items), key=key)
 
 
+def test_a_hot_passage_copies_and_a_null_item(spark):
+    """Items that are copies, a document passage in every row, long texts, windows that share shingles."""
+    from tessera.llm.contamination import decontaminate
+
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    items = [(i, passage) for i in range(30)] + [(None, "zig zag zog zug zeg " * 6), (50, passage.replace("p20", "q")), (51, "p3 p4 p5 p6")]
+    docs = [(i, f"{' '.join(str(rng.random()) for _ in range(3))} {passage if i % 2 else passage[:40]} end") for i in range(60)] + [(99, "zig zag zog zug zeg " * 300), (98, "x " * 20000 + passage)]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("items")
+    rename = [(("" if i is None else i), t) for i, t in items]
+    assert sorted(map(tuple, got.collect())) == sorted(brute(docs, rename))
+
+
 def test_empty_tables(spark):
     from tessera.llm.contamination import decontaminate
 
