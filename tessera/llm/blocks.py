@@ -88,7 +88,7 @@ def mapped(uri: str) -> np.ndarray:
             os.replace(tmp, path)
     if not os.path.getsize(path):
         return np.empty(0, np.uint8)
-    return np.memmap(path, np.uint8, "r")
+    return np.memmap(path, np.uint8, "r").view(np.ndarray)
 
 
 class Words(dict):

@@ -152,13 +152,17 @@ class Followers:
             raw = self.next.get(f"{s:06d}")
             big, large = raw[: 8 * n_big].view("<u8"), raw[8 * n_big : 16 * n_big].view("<u8")
             words, small = raw[16 * n_big : 16 * n_big + 4 * n].view("<u4"), raw[16 * n_big + 4 * n :]
-            lo = many["at"][back[part]].astype(np.int64)
-            end, goal = lo + many["size"][back[part]], word[part]
-            hi = end.copy()
-            while (live := np.flatnonzero(lo < hi)).size:
-                mid = (lo[live] + hi[live]) >> 1
-                less = words[mid] < goal[live]
-                lo[live[less]], hi[live[~less]] = mid[less] + 1, mid[~less]
+            rounds = np.frexp(many["size"])[1].astype("u1")[back[part]]  # of halving until nothing is left
+            by = np.argsort(255 - rounds, kind="stable")
+            part, rounds = part[by], rounds[by]
+            at, size, goal = many["at"][back[part]].astype(np.int64), many["size"][back[part]].astype(np.int64), word[part]
+            lo, end = at.copy(), at + size
+            for done in range(int(rounds[0])):
+                m = int(np.searchsorted(-rounds.astype(np.int16), -done))  # those with more rounds to go
+                half = size[:m] >> 1
+                less = (words[np.minimum(lo[:m] + half, n - 1)] < goal[:m]) & (size[:m] > 0)
+                lo[:m] += np.where(less, half + 1, 0)
+                size[:m] = np.where(less, size[:m] - half - 1, half)
             inside = np.flatnonzero(lo < end)
             inside = inside[words[lo[inside]] == goal[inside]]
             got = small[lo[inside]].astype(np.int64)
