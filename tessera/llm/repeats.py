@@ -1,11 +1,15 @@
 """Removal of repeated passages by seed and extend.
 
-Seeds are word shingles chosen by winnowing: each window of ``length`` words has one (its smallest shingle
-hash), so two equal windows always share it.  Documents are joined on seeds that occur more than once; from
-such a seed every window around it that chose it is compared, which extends the match in both directions
-as far as it goes; windows that occur more than once are kept, and their union in a document is its maximal
-repeats.  Seeds and windows are counted in every task first, so a passage that a third of all rows share
-is one row per task in the exchange.
+Anchors are word shingles chosen by winnowing: each window of ``length`` words has one (its smallest shingle
+hash), so two equal windows always share it, at the same place.  Documents meet on anchors that occur more than
+once.  From such an anchor a match is extended both ways by taking every window around it that chose it: places
+match over ``length`` words or more exactly where they share such windows, and the union of the windows that
+occur more than once is a document's maximal repeats.
+
+Places of an anchor are not compared pair by pair: a passage that a third of all rows share would make the square
+of its places.  Instead windows are counted under their anchor, first in every task, so that such a passage is a row
+per task in the exchange, and a hot anchor's windows are dealt to all shards.  Windows are equal by two hashes,
+of the anchor (64 bits) and of all words (64 bits).
 """
 
 from __future__ import annotations
@@ -60,6 +64,34 @@ class Chunk:
         return blocks.windows(self.h, self.length)[at] if len(at) else np.empty(0, blocks.U64)
 
 
+def tally(whole: np.ndarray, anchor: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows under their anchors, in order, and their counts."""
+    order = np.argsort(whole)
+    w, a = whole[order], anchor[order]
+    if ((w[1:] == w[:-1]) & (a[1:] != a[:-1])).any():  # one hash of two windows
+        order = np.lexsort((anchor, whole))
+        w, a = whole[order], anchor[order]
+    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (a[1:] != a[:-1])]) if len(w) else np.empty(0, np.int64)
+    if counts is None:
+        total = np.diff(np.r_[first, len(w)])
+    else:
+        total = np.add.reduceat(counts[order], first) if len(first) else counts
+    return w[first], a[first], total
+
+
+def dealt(held: list[tuple], n: int) -> list[tuple[int, bytes]]:
+    if not held:
+        return []
+    whole, anchor, count = tally(*map(np.concatenate, zip(*held, strict=True)))
+    count = np.minimum(count, 2).astype("u1")  # once or more often
+    return blocks.cut(whole, n, lambda a, b: whole[a:b].tobytes() + anchor[a:b].tobytes() + count[a:b].tobytes())
+
+
+def _read(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw) // 17
+    return np.frombuffer(raw, "u8", n), np.frombuffer(raw, "u8", n, 8 * n), np.frombuffer(raw, "u1", n, 16 * n).astype(np.int64)
+
+
 def remove_repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (words left, joined by a blank), removed (word spans).
 
@@ -71,25 +103,45 @@ def remove_repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFram
     folder, n = blocks.shared_dir(spark, "repeats"), blocks.shards(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def counted(keys_of):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache, pending = blocks.Words(), blocks.Pending(n)
-            for _, raw in blocks.chunks(batches):
-                if rows := pending.add(keys_of(Chunk(raw, cache, length, seed))):
-                    yield blocks.payload(rows)
-            yield blocks.payload(pending.flush())
+    def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, pending = blocks.Words(), blocks.Pending(n)
+        for _, raw in blocks.chunks(batches):
+            if rows := pending.add(Chunk(raw, cache, length, seed).chosen()):
+                yield blocks.payload(rows)
+        yield blocks.payload(pending.flush())
 
-        return texts.mapInArrow(run, blocks.PAYLOAD)
+    seeds = blocks.kept_counts(texts.mapInArrow(seeds_of, blocks.PAYLOAD), f"{folder}/seeds", n, 2)
 
-    seeds = blocks.kept_counts(counted(Chunk.chosen), f"{folder}/seeds", n, 2)
-    repeated = blocks.kept_counts(counted(lambda c: c.whole(c.hits(seeds))), f"{folder}/windows", n, 2)
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, held = blocks.Words(), []
+        for _, raw in blocks.chunks(batches):
+            c = Chunk(raw, cache, length, seed)
+            at = c.hits(seeds)
+            held.append(tally(c.whole(at), c.seed[at]))
+            if sum(len(x[0]) for x in held) > 2_000_000:
+                yield blocks.payload(dealt(held, n))
+                held = []
+        yield blocks.payload(dealt(held, n))
+
+    def repeated_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = []
+        for s, parts in blocks.gathered(batches).items():
+            whole, anchor, count = tally(*map(np.concatenate, zip(*map(_read, parts), strict=True)))
+            some = count > 1
+            blocks.Lookup.save(f"{folder}/windows", s, whole[some], anchor[some])
+            sizes.append((s, int(some.sum())))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in sizes], pa.int64()) for j in range(2)], ["shard", "n"])
+
+    rows = texts.mapInArrow(windows_of, blocks.PAYLOAD).repartitionById(n, "shard").mapInArrow(repeated_ones, "shard long, n long").collect()  # a small row for each shard
+    repeated = blocks.Lookup(f"{folder}/windows", {r.shard: r.n for r in rows}, n, {"anchor": "u8"})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = blocks.Words()
         for part, raw in blocks.chunks(batches):
             c = Chunk(raw, cache, length, seed)
             at = c.hits(seeds)
-            at = at[repeated.find(c.whole(at))["found"]]
+            found = repeated.find(c.whole(at))
+            at = at[found["found"] & (found["anchor"] == c.seed[at])]
             edge = np.zeros(len(c.h) + 1, np.int64)
             edge[at] += 1
             edge[at + length] -= 1
