@@ -73,6 +73,34 @@ def put(uri: str, parts: Iterable[bytes]) -> None:
             f.write(x)
 
 
+class Appender:
+    """A file of the shared folder that a task writes bit by bit, under a number that no other attempt has.
+
+    A repeated attempt writes a file of its own, so rows that name the file and a place in it stay true whichever
+    attempt's rows are kept.
+    """
+
+    def __init__(self, folder: str):
+        self.number = uuid.uuid4().int >> 65
+        self.uri, self._file = f"{folder}/{self.number:016x}", None
+
+    def write(self, part: bytes) -> None:
+        if self._file is None:
+            if path := _local(self.uri):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                self._file = open(path, "wb", buffering=1 << 20)  # noqa: SIM115 - closed by close()
+            else:
+                from pyarrow import fs
+
+                store, path = fs.FileSystem.from_uri(self.uri)
+                self._file = store.open_output_stream(path)
+        self._file.write(part)
+
+    def close(self) -> None:
+        if self._file is not None:
+            self._file.close()
+
+
 def mapped(uri: str) -> np.ndarray:
     """A file of the shared folder as memory-mapped bytes; a copy is made first where it has no local path."""
     path = _local(uri)

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: groups of documents linked by a similarity of their shingle sets.
 
 1. Every text becomes a sorted array of 64-bit shingle hashes.  Texts with equal sets are one class,
-   represented by their least doc_id.
+   represented by their least doc_id (equal by 128 bits of their hash).
 2. Shingles are counted over all documents.  A representative's set, ordered from the rarest shingle on,
    needs one shingle of its first n - ceil(t*n) + 1 in common with any partner; of these, those that no
    other document has are left out.
@@ -12,7 +12,8 @@
    through others need no check, since only the groups are asked for.
 4. The tiles' links are contracted to components.
 
-Bitmaps and arrays are memory-mapped from the shared folder.  A tile of more than ``block`` documents is
+Bitmaps and arrays are memory-mapped from the shared folder; each attempt of a task writes a file of its own,
+which its rows name.  A tile of more than ``block`` documents is
 dealt out as pairs of blocks.
 """
 
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ from tessera.llm.graphs import components
 BITS = 1024
 NONE = np.iinfo(np.int64).min
 #: Per document (token null) or per necessary shingle of a representative.
-ROWS = "doc_id long, n long, rep long, token long, block_a int, block_b int, place int, file int, at long"
+ROWS = "doc_id long, n long, rep long, token long, block_a int, block_b int, place int, file long, at long"
 
 
 def shingle_sets(raw: list[bytes], cache: blocks.Words, k: int) -> list[np.ndarray]:
@@ -49,8 +49,9 @@ def shingle_sets(raw: list[bytes], cache: blocks.Words, k: int) -> list[np.ndarr
     return out
 
 
-def _digest(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, in two halves."""
+    return divmod(xxhash.xxh3_128_intdigest(s.tobytes(), seed=len(s)), 1 << 64)
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -61,12 +62,10 @@ class Sets:
     """Bitmaps and sorted arrays from the files that the second pass wrote."""
 
     def __init__(self, folder: str):
-        self.folder, self.files = folder, {}
+        self.maps = blocks.Maps(folder)
 
     def _file(self, f: int) -> np.ndarray:
-        if f not in self.files:
-            self.files[f] = blocks.mapped(f"{self.folder}/{f:06d}").view("u8")
-        return self.files[f]
+        return self.maps.get(f"{f:016x}").view("u8")
 
     def bitmap(self, f: int, at: int) -> np.ndarray:
         return self._file(f)[at : at + BITS // 64]
@@ -168,10 +167,10 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, block: int =
             if rows := pending.add(np.concatenate([np.empty(0, blocks.U64), *own])):
                 yield blocks.payload(rows)
             some = [i for i, s in enumerate(own) if len(s)]
-            digest, ids = np.array([_digest(own[i]) for i in some], "u8"), blocks.column(part, "doc_id")[some]
-            order = np.argsort(digest)
+            digest, ids = np.array([_digest(own[i]) for i in some], "u8").reshape(-1, 2), blocks.column(part, "doc_id")[some]
+            order = np.argsort(digest[:, 0])
             digest, ids = digest[order], ids[order]
-            yield blocks.payload([(s + n_shards, x) for s, x in blocks.cut(digest, n_shards, lambda a, b, d=digest, i=ids: d[a:b].tobytes() + i[a:b].tobytes())])
+            yield blocks.payload([(s + n_shards, x) for s, x in blocks.cut(digest[:, 0], n_shards, lambda a, b, d=digest, i=ids: d[a:b].tobytes() + i[a:b].tobytes())])
         yield blocks.payload(pending.flush())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,30 +181,32 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, block: int =
                 some = counts > 1
                 blocks.Lookup.save(f"{folder}/counts", s, keys[some], np.minimum(counts[some], 0xFFFFFFFF).astype("<u4"))
             else:
-                keys = np.concatenate([np.frombuffer(x, "u8", len(x) // 16) for x in parts])
-                ids = np.concatenate([np.frombuffer(x, "i8", len(x) // 16, len(x) // 2) for x in parts])
-                order = np.lexsort((ids, keys))
-                keys, ids = keys[order], ids[order]
-                start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                some = np.diff(np.r_[start, len(keys)]) > 1
-                keys, ids = keys[start], ids[start]
-                blocks.Lookup.save(f"{folder}/classes", s - n_shards, keys[some], ids[some])
+                digest = np.concatenate([np.frombuffer(x, "u8", len(x) // 12) for x in parts]).reshape(-1, 2)
+                ids = np.concatenate([np.frombuffer(x, "i8", len(x) // 24, len(x) // 3 * 2) for x in parts])
+                order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
+                digest, ids = digest[order], ids[order]
+                start = np.flatnonzero(np.r_[True, (digest[1:] != digest[:-1]).any(1)])
+                several = np.diff(np.r_[start, len(digest)]) > 1
+                keys, rest, ids = digest[start, 0], digest[start, 1], ids[start]
+                # of different sets with equal first halves one has a class here; the others meet in tiles
+                some = several & np.r_[True, keys[1:] != keys[:-1]]
+                blocks.Lookup.save(f"{folder}/classes", s - n_shards, keys[some], rest[some], ids[some])
             sizes.append((s, int(some.sum())))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sizes], pa.int32()), pa.array([x[1] for x in sizes], pa.int64())], ["shard", "n"])
 
     made = texts.mapInArrow(first_pass, blocks.PAYLOAD).repartitionById(2 * n_shards, "shard").mapInArrow(merge, "shard int, n long")
     sizes = {r.shard: r.n for r in made.collect()}  # two small rows for each shard
     counts = blocks.Lookup(f"{folder}/counts", {s: x for s, x in sizes.items() if s < n_shards}, n_shards, {"c": "<u4"})
-    classes = blocks.Lookup(f"{folder}/classes", {s - n_shards: x for s, x in sizes.items() if s >= n_shards}, n_shards, {"rep": "i8"})
+    classes = blocks.Lookup(f"{folder}/classes", {s - n_shards: x for s, x in sizes.items() if s >= n_shards}, n_shards, {"rest": "u8", "rep": "i8"})
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, task, at, stored = blocks.Words(), TaskContext.get().partitionId(), 0, []
+        cache, stored, at = blocks.Words(), blocks.Appender(f"{folder}/sets"), 0
         for part, raw in blocks.chunks(batches):
             own, ids = shingle_sets(raw, cache, k), blocks.column(part, "doc_id")
             size = np.fromiter(map(len, own), np.int64, len(own))
-            digest = np.array([_digest(s) for s in own], "u8")
-            same = classes.find(digest)
-            rep = np.where(same["found"] & (size > 0), same["rep"], ids)
+            digest = np.array([_digest(s) for s in own], "u8").reshape(-1, 2)
+            same = classes.find(digest[:, 0])
+            rep = np.where(same["found"] & (same["rest"] == digest[:, 1]) & (size > 0), same["rep"], ids)
             lead = np.flatnonzero((rep == ids) & (size > 0))
             every = np.concatenate([np.empty(0, blocks.U64), *(own[i] for i in lead)])
             distinct, back = np.unique(every, return_inverse=True)
@@ -227,15 +228,15 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, block: int =
                     a, b = np.minimum(own_block, other), np.maximum(own_block, other)
                 else:
                     a = b = np.zeros(len(token), np.int64)
-                rows.append((*(np.full(len(token), x) for x in (ids[i], size[i], rep[i])), token, a, b, place, *(np.full(len(token), x) for x in (task, at))))
-                stored += [_bitmap(s).tobytes(), s.tobytes()]
+                rows.append((*(np.full(len(token), x) for x in (ids[i], size[i], rep[i])), token, a, b, place, *(np.full(len(token), x) for x in (stored.number, at))))
+                stored.write(_bitmap(s).tobytes() + s.tobytes())
                 at += BITS // 64 + len(s)
             cols = [np.concatenate(x).astype(np.int64) for x in zip(*rows, strict=True)]
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.int64()]
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, mask=(x == NONE) if j == 3 else None).cast(t) for j, (x, t) in enumerate(zip(cols, kinds, strict=True))], [x.split()[0] for x in ROWS.split(", ")]
             )
-        blocks.put(f"{folder}/sets/{task:06d}", stored)
+        stored.close()
 
     rows = blocks.written(texts.mapInArrow(second_pass, ROWS), f"{folder}/rows")
 
