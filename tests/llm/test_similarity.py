@@ -66,3 +66,24 @@ def test_empty_table(spark):
     from tessera.llm.similarity import similar_groups
 
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_with_heavy_centres(spark, tmp_path):
+    from tessera.llm.graphs import components
+
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(501, 560)] + [(199, 500)] + [(i, i + 1) for i in range(1000, 1040)] + [(rng.randrange(2000, 2060), rng.randrange(2000, 2060)) for _ in range(30)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    for heavy in (20, 100_000):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}/{heavy}", heavy).collect()}
+        assert got == want
