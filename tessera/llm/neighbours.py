@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product, with a robust-pruned directed graph for each shard.
 
-Vectors are dealt by a hash of their id to shards of ``shard_bytes`` of vectors (32,768 of 64 components).  A larger
+Vectors are dealt by a hash of their id to shards of ``shard_bytes`` of vectors (16,384 of 64 components).  A larger
 value makes fewer shards to search, but one task builds a shard's graph and needs some ten times its bytes; a
 node's insertion costs about twice as much in a shard four times as large.  A shard's graph is built by
 inserting nodes in growing batches: a greedy beam search over the graph so far proposes neighbours, and
@@ -190,7 +190,7 @@ def _matrix(col: pa.Array, kind: str) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_bytes: int = 8 << 20, width: int = 192, degree: int = 40, build_width: int = 96, alpha: float = 1.2) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_bytes: int = 4 << 20, width: int = 192, degree: int = 40, build_width: int = 96, alpha: float = 1.2) -> DataFrame:
     """The k nearest of each query: query_id, rank (from 1), vec_id, score (inner product in double precision).
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows with another vec_id and
