@@ -57,7 +57,10 @@ def _local(uri: str) -> str | None:
 
 
 def put(uri: str, parts: Iterable[bytes]) -> None:
-    """Write a file of the shared folder in one step, so that a repeated task does no harm."""
+    """Write a file of the shared folder, with the same content whenever a task is repeated.
+
+    Local files appear in one step; those of a remote store when the stream is closed, as stores do it.
+    """
     if path := _local(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(tmp := f"{path}.{uuid.uuid4().hex}", "wb") as f:
@@ -102,21 +105,21 @@ class Appender:
 
 
 def mapped(uri: str) -> np.ndarray:
-    """A file of the shared folder as memory-mapped bytes; a copy is made first where it has no local path."""
+    """A file of the shared folder as memory-mapped bytes.
+
+    Where it has no local path, a copy is mapped that has no name any more: its space is free when the map is closed.
+    """
     path = _local(uri)
-    if path is None:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(uri)
-        path = os.path.join(tempfile.gettempdir(), f"{xxhash.xxh3_64_hexdigest(uri)}.bin")
-        if not os.path.exists(path):
-            with store.open_input_stream(at) as f, open(tmp := f"{path}.{uuid.uuid4().hex}", "wb") as g:
-                while block := f.read(8 << 20):
-                    g.write(block)
-            os.replace(tmp, path)
-    if not os.path.getsize(path):
-        return np.empty(0, np.uint8)
-    return np.memmap(path, np.uint8, "r").view(np.ndarray)
+    if path is not None:
+        return np.memmap(path, np.uint8, "r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, np.uint8)
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(at) as f, tempfile.TemporaryFile() as g:
+        while block := f.read(8 << 20):
+            g.write(block)
+        g.flush()
+        return np.memmap(g, np.uint8, "r").view(np.ndarray) if g.tell() else np.empty(0, np.uint8)
 
 
 class Words(dict):

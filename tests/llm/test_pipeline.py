@@ -58,3 +58,27 @@ def test_stages(spark, tmp_path):
         size[r.doc_id] += r.length
     assert size == {d: len(plain(t)) for d, t in now.items()}
     assert sorted(map(tuple, p.run(spark, sf).select("doc_id", "piece", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in last)
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, and columns named like helpers go through every stage."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+    rows = [(i, text(12), "en", "s", 1) for i in range(40)] + [(None, text(9), None, None, None), (None, None, "en", "s", 0), (50, "", "en", "s", 0), (51, None, "en", "s", 0), (7, text(20), "en", "s", 2), (60, "long " * 30000, "en", "s", 3)]
+    names = ["score", "n_words", "items", "contaminated", "base", "extra", "_base", "_spans", "_t", "_text", "file", "token", "rep", "component"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in names})
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda r: (str(r.doc_id), str(r.text))
+    want, df, none = sorted(docs.collect(), key=key), docs, docs.limit(0)
+    for name, stage in p.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        df.write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        assert df.columns == docs.columns and sorted(df.collect(), key=key) == want, name
+        none = stage(spark, none, str(tmp_path))
+        assert none.columns == docs.columns and none.count() == 0
+    packed = p.STAGES[-1][1](spark, df, str(tmp_path))
+    assert packed.filter("piece = 0").count() == len(rows) and p.STAGES[-1][1](spark, none, str(tmp_path)).count() == 0
