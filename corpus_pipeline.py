@@ -1,7 +1,11 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next one's docs.  All but the last return the columns of documents.
+the next one's docs.  All but the last return the columns of documents, and further columns of the caller's.
+
+Rows are judged one by one, whatever their ids: a null text is an empty one to every stage and stays null;
+rows that repeat a doc_id stay or go each by its text, but near copies by their common id; rows without a doc_id
+are kept by the similarity stage.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -21,7 +25,11 @@ THRESHOLD = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model (3), fitted on the labelled ones, scores under the threshold."""
+    """Documents that the toxicity model (3), fitted on the labelled ones, scores under the threshold.
+
+    Without labels of both classes the model scores a rate: nothing is known against any document, and all stay
+    where that rate is under the threshold.
+    """
     machine, score = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), blocks.unused(docs.columns, "score")
     return with_scores(docs, machine, score).filter(F.col(score) < THRESHOLD).drop(score)
 
