@@ -206,14 +206,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_bytes: int =
     shards = {dim: max(1, -(-n * dim * np.dtype(kind).itemsize // shard_bytes)) for dim, n in sizes.items()}
     n_shards = F.create_map(*(F.lit(x) for d, n in shards.items() for x in (d, n)))[F.col("dim")] if shards else F.lit(1)
 
-    def index(key: tuple, table: pa.Table) -> pa.Table:
-        t = table.combine_chunks()
-        v = _matrix(t.column("v").chunk(0), kind)
-        n = Graph.save(folder, key[1].as_py(), t.column("vec_id").to_numpy(), v, degree=degree, width=build_width, alpha=alpha)
-        return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), n_shards).cast("int")).repartition(max(1, sum(shards.values())), "dim", "shard")
-    made = dealt.groupBy("dim", "shard").applyInArrow(index, "dim int, shard int, n long")
+    first = dict(zip(shards, np.cumsum([0, *shards.values()]).tolist(), strict=False))
+    place = F.create_map(*(F.lit(x) for d, n in first.items() for x in (d, n)))[F.col("dim")] if shards else F.lit(0)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:  # of one shard
+            dims, shard, ids = (blocks.column(batch, c) for c in ("dim", "shard", "vec_id"))
+            for dim, s in {*zip(dims.tolist(), shard.tolist(), strict=True)}:
+                own = np.flatnonzero((dims == dim) & (shard == s))
+                of.setdefault((dim, s), []).append((ids[own], _matrix(batch.column(batch.schema.get_field_index("v")).take(pa.array(own)), kind)))
+        for (dim, s), parts in of.items():
+            n = Graph.save(folder, s, *map(np.concatenate, zip(*parts, strict=True)), degree=degree, width=build_width, alpha=alpha)
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([s], pa.int32()), pa.array([n], pa.int64())], ["dim", "shard", "n"])
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), n_shards).cast("int")).withColumn("task", (place + F.col("shard")).cast("int"))
+    made = dealt.repartitionById(max(1, sum(shards.values())), "task").mapInArrow(index, "dim int, shard int, n long")  # a shard for each task
     made = {(r.dim, r.shard): r.n for r in made.collect()}  # a small row for each shard
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
