@@ -27,10 +27,12 @@ THRESHOLD = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (3), fitted on the labelled ones, scores under the threshold.
 
-    Without labels of both classes the model scores a rate: nothing is known against any document, and all stay
-    where that rate is under the threshold.
+    A model without terms (no labels of both classes, or no term that tells them apart) knows nothing against any
+    document: all stay.
     """
     machine, score = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), blocks.unused(docs.columns, "score")
+    if not len(machine.terms):
+        return docs
     return with_scores(docs, machine, score).filter(F.col(score) < THRESHOLD).drop(score)
 
 
