@@ -84,6 +84,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
