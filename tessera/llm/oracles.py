@@ -1,7 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express on whole tables.
 
 The others are held against plain versions in tests/llm: 1 (an index finds most, not all), 2, 3 and 4 (fitted
-models), 8 (cosines and path walks), 10 and the pipeline (a tokenizer).
+models), 8 (cosines and path walks), 11 (eigenvectors), 12 (crc32), 10 and the pipeline (a tokenizer).
 """
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,4 +44,8 @@ CONTAMINATION = f"""WITH w AS (SELECT doc_id, {ALNUM.format(LOWER.format("coales
  SELECT w.doc_id, len(ws) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(names.n, 0) AS n_items, sha256(coalesce(a, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
  FROM w LEFT JOIN hits ON hits.doc_id = w.doc_id LEFT JOIN names ON names.doc_id = w.doc_id"""
 
-ORACLES: dict[str, str] = {"op5_repeats": REPEATS, "op6_similarity": SIMILARITY, "op7_chat": CHAT, "op9_decontamination": CONTAMINATION}
+ARCHIVES = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+ m AS (SELECT *, CASE WHEN octet_length(b) >= 1000 THEN max(page_id) OVER (PARTITION BY b) ELSE page_id END AS top FROM p)
+ SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM m"""
+
+ORACLES: dict[str, str] = {"op5_repeats": REPEATS, "op6_similarity": SIMILARITY, "op7_chat": CHAT, "op9_decontamination": CONTAMINATION, "op13_archives": ARCHIVES}

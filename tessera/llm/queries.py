@@ -90,6 +90,15 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import blocks
+    from tessera.llm.archives import read_archives, write_archives
+
+    folder = blocks.shared_dir(spark, "archives")
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
