@@ -84,6 +84,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.spelling import variants
 
