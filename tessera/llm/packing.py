@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Each document becomes ids (plus an end id); only one longer than a sequence is cut, and its first piece
-takes the remainder.  Pieces are dealt by hash to as many partitions as the session shuffles to and
-packed there by bounded-space online best fit: at most ``open_bins`` bins are open, kept by free space
+takes the remainder.  Pieces are dealt by hash to partitions of a few thousand or more (at most as many partitions
+as the session shuffles to) and packed there by bounded-space online best fit: at most ``open_bins`` bins are open, kept by free space
 with a bitset of the free spaces in use; a piece goes to the bin with least sufficient space, a full bin
 is closed at once, and when one too many is open the fullest closes.  Pieces arrive in an order that does not
 hang on their lengths; only blocks of ``open_bins`` of them are put longest first.  (A partition that is sorted as a
@@ -13,6 +13,7 @@ need from some thousand pieces a partition on.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +26,13 @@ from pyspark.sql import types as T
 
 from tessera.llm import blocks
 
+#: Pieces of a partition, at least (where there are so many): the bins that its end leaves open are few against them.
+PARTITION = 4000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space on which the pattern would go back step by step, further than its stack goes.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
 
 
 def _byte_of() -> dict[str, int]:
@@ -56,7 +61,7 @@ class Encoder:
         by_merge = [vocabulary.get("".join(m)) for m in merges] == list(range(256, 256 + len(merges)))
         plain = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
         simple = plain and model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not spec.get("normalizer")
-        self.coder = None
+        self.coder, self.special = None, tuple(special)
         if simple and by_merge and len(vocabulary) == 256 + len(merges):
             import tiktoken
 
@@ -69,9 +74,20 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if self.coder:
-            return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            return b"".join(self._coded(text))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _coded(self, text: str) -> Iterator[bytes]:
+        """Ids of the text; a long run of blanks is one piece, without its last one where a word follows, as the pattern says."""
+        at = 0
+        for run in LONG_BLANKS.finditer(text) if len(text) >= 5000 else ():
+            last = run.end() == len(text) or (self.special and text.startswith(self.special, run.end()))
+            end = run.end() - (not last)
+            yield self.coder.encode_to_numpy(text[at : run.start()], allowed_special="all").astype("<u4").tobytes()
+            yield np.array(self.coder._encode_single_piece(text[run.start() : end]), "<u4").tobytes()
+            at = end
+        yield self.coder.encode_to_numpy(text[at:], allowed_special="all").astype("<u4").tobytes()
+
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024, with_ids: bool = False) -> DataFrame:
     """Pieces of each document: doc_id, piece, start, length, ids_crc32; with_ids adds ids (array<int>).
@@ -150,6 +166,7 @@ def pack(cut: DataFrame, length: int = 1024, open_bins: int = 4096) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + placed[:, 0]), pa.array(np.ascontiguousarray(placed[:, 1]))], [*batch.schema.names, "sequence_id", "offset"])
 
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = blocks.written(cut, blocks.shared_dir(cut.sparkSession, "pieces"))  # they are counted first: many small partitions would leave bins open
+    n = max(1, min(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), cut.count() // PARTITION))
     dealt = cut.repartition(n, "doc_id", "piece", "ids_crc32")
     return dealt.sortWithinPartitions("ids_crc32", "doc_id", "piece", "start", "length").mapInArrow(run, schema)

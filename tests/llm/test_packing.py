@@ -119,3 +119,28 @@ def test_best_fit_against_a_list_of_bins():
                 gone = [k for k in bins if bins[k] == least and k not in own.by_free[least]]
                 bins.pop(gone[0])
             bins[b] = free - n
+
+
+RUNS = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000 + "!", "x" * 2_000_000, "a" + " \n\u3000" * 9_000 + "<|endoftext|>" + "\x85" * 6000, " " * 5000, "a\x1f" * 6000 + " " * 4999 + "\x1fb " + "\t" * 7000 + "7"]
+
+
+@pytest.mark.parametrize("text", RUNS, ids=range(len(RUNS)))
+def test_long_runs(text):
+    from tessera.llm.packing import Encoder
+
+    assert np.frombuffer(Encoder(PATH)(text), "<u4").tolist() == plain(text)[:-1]
+
+
+def test_waste_does_not_hang_on_shuffle_partitions(spark):
+    from tessera.llm.packing import PIECES, pack
+
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(np.minimum(1024, rng.gamma(1.2, 260, 12_000).astype(int) + 1))]
+    cut = spark.createDataFrame(rows, PIECES)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert pack(cut).select("sequence_id").distinct().count() < 1.005 * sum(r[3] for r in rows) / 1024 + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
