@@ -10,7 +10,7 @@ from tessera.operators import features, splits
 from tessera.plans.base import table
 from tessera.plans.reports import split_sql
 from tessera.shared import shared_dir
-from tessera.sources import readers, writers
+from tessera.sources import named_files, readers, writers
 from tessera.streaming import incremental
 
 
@@ -59,6 +59,34 @@ def box_lines(spark, sf):
     return got.select("slug", F.col("p")[0].alias("image"), F.col("p")[1].alias("line"))
 
 
+def _part_boxes(spark, sf):
+    """Each part as an image with a box for each of its line items."""
+    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    own = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    boxes = {"cx": F.lit(0.5), "cy": F.col("l_quantity").cast("double") / 100, "w": F.col("l_discount").cast("double"), "h": F.col("l_tax").cast("double")}
+    return own.select(F.lit("parts").alias("dataset"), F.col("p_brand").alias("slug"), F.col("l_partkey").cast("string").alias("image"), F.col("l_linenumber").alias("class_id"), *(c.alias(n) for n, c in boxes.items()))
+
+
+def image_box_files(spark, sf):
+    """A file for each image, written twice, read back with the number of files of its folder."""
+    path, boxes = shared_dir(spark, "image-boxes"), _part_boxes(spark, sf)
+    for _ in range(2):  # the second time replaces every file
+        writers.image_boxes(boxes, path)
+    files = readers.inventory(spark, path, (".txt",)).filter(~F.contains("path", F.lit("/_commits/"))).select(F.url_decode(F.element_at(F.split("path", "/"), -2)).alias("slug"))
+    counts = files.groupBy("slug").agg(F.count("*").alias("files"))
+    return readers.image_boxes(named_files.read_named(spark, path)).join(counts, "slug").select("dataset", "slug", "image", "class_id", "cx", "cy", "w", "h", "files")
+
+
+def image_box_stream(spark, sf):
+    """Files arrive in two commits and are read as a stream: boxes by folder."""
+    path, boxes = shared_dir(spark, "box-stream"), _part_boxes(spark, sf)
+    for side in (0, 1):
+        writers.image_boxes(boxes.filter(F.col("image").cast("long") % 2 == side), f"{path}/in")
+        rows = readers.image_boxes(named_files.stream_named(spark, f"{path}/in"))
+        rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("slug").agg(F.countDistinct("image").alias("images"), F.count("*").alias("boxes"))
+
+
 def annotation_document(spark, sf):
     """Regions as images, nations as their annotations: one document there and back."""
     path, r, n = shared_dir(spark, "document"), table(spark, sf, "region"), table(spark, sf, "nation")
@@ -178,6 +206,12 @@ QUERIES = {
     "json_appended": (json_appended, "SELECT doc_id, md5(text) AS text FROM documents"),
     "split_files": (split_files, f"SELECT 'f' || doc_id || '.jpg' AS filename, split FROM ({split_sql()})"),
     "box_lines": (box_lines, "SELECT l_returnflag AS slug, CAST(l_orderkey AS VARCHAR) AS image, printf('%d %.6f 0.500000 0.250000 0.125000', l_linenumber, CAST(l_quantity AS DOUBLE) / 100) AS line FROM lineitem"),
+    "image_box_files": (
+        image_box_files,
+        """SELECT 'parts' AS dataset, p_brand AS slug, CAST(l_partkey AS VARCHAR) AS image, l_linenumber AS class_id, 0.5 AS cx, l_quantity / 100 AS cy, l_discount AS w, l_tax AS h, count(DISTINCT l_partkey) OVER (PARTITION BY p_brand) AS files
+ FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    ),
+    "image_box_stream": (image_box_stream, "SELECT p_brand AS slug, count(DISTINCT l_partkey) AS images, count(*) AS boxes FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1"),
     "annotation_document": (annotation_document, "SELECT n_nationkey AS id, r_name || '.jpg' AS file_name, 'nation' AS name, 1 AS x, 2 AS y, n_nationkey AS w, 4 AS h, n_nationkey * 4 AS area FROM nation JOIN region ON r_regionkey = n_regionkey"),
     "annotation_tables": (annotation_tables, "SELECT o_orderkey AS id, o_orderstatus AS file_name, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"),
     "class_file": (classes, "SELECT row_number() OVER (ORDER BY source, slug) - 1 AS class_id, slug FROM (SELECT 0 AS source, source AS slug FROM documents UNION SELECT 1, p_brand FROM part)"),

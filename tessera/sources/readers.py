@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -90,6 +90,23 @@ def box_files(spark: SparkSession, path: str) -> DataFrame:
     return out.dropna()
 
 
+def _named(part: Column) -> Column:
+    return F.when(part == "%00", None).when(part == "%20", "").otherwise(F.url_decode(part))
+
+
+def image_boxes(lines: DataFrame) -> DataFrame:
+    """Boxes of (file, line) rows, read by named_files as a batch or a stream: dataset, slug, image and the five numbers.
+
+    Lines that are not five numbers are dropped.
+    """
+    f, p = F.split(F.regexp_replace("file", r"\.txt$", ""), "/"), F.split(F.trim("line"), r"\s+")
+    num = lambda i: F.try_element_at(p, F.lit(i)).try_cast("double")
+    boxes = lines.select(
+        *(_named(F.try_element_at(f, F.lit(i))).alias(c) for i, c in ((-3, "dataset"), (-2, "slug"), (-1, "image"))), num(1).cast("int").alias("class_id"), num(2).alias("cx"), num(3).alias("cy"), num(4).alias("w"), num(5).alias("h")
+    )
+    return boxes.dropna(subset=["class_id", "cx", "cy", "w", "h"])
+
+
 def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """images, annotations (bbox as x, y, w, h) and categories of an annotation document."""
     image = "array<struct<id:bigint,file_name:string,width:int,height:int>>"

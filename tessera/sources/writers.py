@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import named_files
+
 
 def csv_table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """CSV with a header in the given order, nulls as blank cells. Write to a new path, never onto the input."""
@@ -20,6 +22,23 @@ def box_files(lines: DataFrame, path: str, by: tuple[str, ...] = ("dataset", "sl
     lines.select(F.concat_ws("\t", "image", "line").alias("value"), *by).write.mode("overwrite").partitionBy(*by).text(path)
 
 
+def _part(name: Column) -> Column:
+    """A text as a part of a file's name; null, empty texts and those that begin with . or _ have forms of their own."""
+    coded = F.regexp_replace(F.regexp_replace(F.url_encode(name), r"^\.", "%2E"), "^_", "%5F")
+    return F.when(name.isNull(), "%00").when(name == "", "%20").otherwise(coded)
+
+
+def image_boxes(boxes: DataFrame, path: str) -> None:
+    """A file <dataset>/<slug>/<image>.txt for each image with lines 'class cx cy w h' in order; see named_files.
+
+    boxes: dataset, slug, image, class_id, cx, cy, w, h.  A row without a class gives a file without lines.  Images
+    that are written again replace their files.
+    """
+    file = F.concat(_part(F.col("dataset")), F.lit("/"), _part(F.col("slug")), F.lit("/"), _part(F.col("image")), F.lit(".txt"))
+    line = F.when(F.col("class_id").isNotNull(), F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", "cx", "cy", "w", "h"))
+    named_files.write_named(boxes.select(file.alias("file"), line.alias("line"), "class_id", "cx", "cy", "w", "h"), path, "class_id", "cx", "cy", "w", "h")
+
+
 def class_list(classes: DataFrame, path: str) -> None:
     """Lines 'id slug' by id, one file: a class list is small."""
     classes.orderBy("class_id").coalesce(1).select(F.concat_ws(" ", F.col("class_id").cast("string"), "slug").alias("value")).write.mode("overwrite").text(path)
