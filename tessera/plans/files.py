@@ -100,6 +100,28 @@ def annotation_document(spark, sf):
     return a.join(i.select(F.col("id").alias("image_id"), "file_name"), "image_id").join(c.select(F.col("id").alias("category_id"), "name"), "category_id").select("id", "file_name", "name", "x", "y", "w", "h", "area")
 
 
+def large_document(spark, sf):
+    """Orders as images and their line items as annotations: one document, written and read in parts."""
+    path, o, li = f"{shared_dir(spark, 'large')}/document.json", table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    images = o.select(F.col("o_orderkey").cast("long").alias("id"), F.concat(F.lit('a"\\{['), "o_orderpriority").alias("file_name"), F.lit(10).alias("width"), F.lit(20).alias("height"))
+    box = F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_tax", "l_discount", "l_linenumber")))
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
+    made = li.select(key.alias("id"), F.col("l_orderkey").cast("long").alias("image_id"), F.lit(1).alias("category_id"), box.alias("bbox"), F.col("l_quantity").cast("double").alias("area"), F.lit(0).alias("iscrowd"))
+    kinds = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("place").alias("supercategory"))
+    writers.coco_file(images, made, kinds, path)
+    doc = readers.coco_ranges(spark, path, 1 << 20)
+    counts = doc["annotations"].groupBy("image_id").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("h").alias("h"))
+    own = doc["images"].join(counts, F.col("id") == F.col("image_id"), "left").crossJoin(doc["categories"].agg(F.max("name").alias("last")))
+    return own.select("id", "file_name", F.coalesce("n", F.lit(0)).alias("n"), "x", "h", "last")
+
+
+def large_registry(spark, sf):
+    """Customers by name as one JSON object, written and read in parts."""
+    path, c = f"{shared_dir(spark, 'large')}/registry.json", table(spark, sf, "customer")
+    writers.registry_file(c.select(F.concat("c_name", F.lit('"é')).alias("plant_key"), F.col("c_mktsegment").alias("plant_common"), F.array("c_name", F.lit("}]")).alias("butterfly_species")), path)
+    return readers.registry_ranges(spark, path, 1 << 16).select("plant_key", "plant_common", F.array_join("butterfly_species", ",").alias("species"))
+
+
 def annotation_tables(spark, sf):
     path, o, li = shared_dir(spark, "tables"), table(spark, sf, "orders"), table(spark, sf, "lineitem")
     images = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("file_name"))
@@ -213,6 +235,12 @@ QUERIES = {
     ),
     "image_box_stream": (image_box_stream, "SELECT p_brand AS slug, count(DISTINCT l_partkey) AS images, count(*) AS boxes FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1"),
     "annotation_document": (annotation_document, "SELECT n_nationkey AS id, r_name || '.jpg' AS file_name, 'nation' AS name, 1 AS x, 2 AS y, n_nationkey AS w, 4 AS h, n_nationkey * 4 AS area FROM nation JOIN region ON r_regionkey = n_regionkey"),
+    "large_document": (
+        large_document,
+        """SELECT o_orderkey AS id, 'a"\\{[' || o_orderpriority AS file_name, count(l_orderkey) AS n, sum(CAST(l_quantity AS DOUBLE)) AS x, sum(CAST(l_linenumber AS DOUBLE)) AS h, (SELECT max(n_name) FROM nation) AS last
+ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+    ),
+    "large_registry": (large_registry, """SELECT c_name || '"é' AS plant_key, c_mktsegment AS plant_common, c_name || ',}]' AS species FROM customer"""),
     "annotation_tables": (annotation_tables, "SELECT o_orderkey AS id, o_orderstatus AS file_name, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"),
     "class_file": (classes, "SELECT row_number() OVER (ORDER BY source, slug) - 1 AS class_id, slug FROM (SELECT 0 AS source, source AS slug FROM documents UNION SELECT 1, p_brand FROM part)"),
     "registry_file": (registry, "SELECT n_name AS plant_key, 'r' || n_regionkey AS plant_common, n_name || ',x' AS species FROM nation"),

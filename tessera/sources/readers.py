@@ -11,6 +11,8 @@ from pyspark.sql.utils import AnalysisException
 
 from tessera import schema as S
 from tessera.operators.tables import keep_last
+from tessera.shared import shared_dir, written
+from tessera.sources import json_document
 
 
 def _optional(read, spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -118,6 +120,30 @@ def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"images": doc.select(F.inline("images")), "annotations": boxes.select(*(c for c in boxes.columns if c != "bbox"), *xywh), "categories": doc.select(F.inline("categories"))}
 
 
+def _coco_kinds() -> dict[str, str]:
+    return {
+        "images": "id bigint, file_name string, width int, height int",
+        "annotations": "id bigint, image_id bigint, category_id int, bbox array<double>, area double, iscrowd int",
+        "categories": "id int, name string, supercategory string",
+    }
+
+
+def coco_ranges(spark: SparkSession, path: str, width: int = json_document.RANGE) -> dict[str, DataFrame]:
+    """As coco, of one document of any size: byte ranges are read by different tasks, its values are stored once."""
+    rows = written(json_document.values(spark, path, 2, width), shared_dir(spark, "document"))
+    own = lambda name: rows.filter(F.col("section") == name).select(F.from_json("value", _coco_kinds()[name]).alias("_v")).select("_v.*")
+    boxes = own("annotations")
+    xywh = [F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x", "y", "w", "h"))]
+    return {"images": own("images"), "annotations": boxes.select(*(c for c in boxes.columns if c != "bbox"), *xywh), "categories": own("categories")}
+
+
+def registry_ranges(spark: SparkSession, path: str, width: int = json_document.RANGE) -> DataFrame:
+    """As registry, of one object of any size."""
+    fields = T.StructType([f for f in S.REGISTRY.fields if f.name != "plant_key"])
+    rows = json_document.values(spark, path, 1, width)
+    return rows.select(F.col("section").alias("plant_key"), F.from_json("value", fields).alias("_v")).select("plant_key", "_v.*")
+
+
 def class_list(spark: SparkSession, path: str) -> DataFrame:
     """(class_id, slug) from lines 'id slug'."""
     p = F.split(F.trim("value"), " ", 2)

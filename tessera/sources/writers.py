@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources import named_files
+from tessera.sources import json_document, named_files
 
 
 def csv_table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -64,6 +64,16 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
     doc.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def coco_file(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
+    """One document of any size in one file, rows by id; tasks write to their places in it."""
+    json_document.write_sections(path, {"images": (images, ["id"]), "annotations": (annotations, ["id"]), "categories": (categories, ["id"])})
+
+
+def registry_file(entries: DataFrame, path: str, key: str = "plant_key") -> None:
+    """One JSON object of any size of the rows by key."""
+    json_document.write_entries(path, entries, key)
+
+
 def report(df: DataFrame, path: str) -> None:
     """A small frame of nested structs as JSON, one file."""
     df.coalesce(1).write.mode("overwrite").json(path)
