@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.operators import runs
 from tessera.operators.tables import in_parts, numbered
 from tessera.shared import unused
 
@@ -28,91 +27,64 @@ def batch_by_count(df: DataFrame, order: list[str], size: int) -> DataFrame:
     return numbered(df, order, "_i", 0).withColumn("batch", F.floor(F.col("_i") / size).cast("long")).drop("_i")
 
 
-def folded(df: DataFrame, key: str, order: Sequence[str], start: Callable[[], list], step: Callable[[list, tuple], tuple | None], schema: str, end: Callable[[list], tuple] | None = None) -> DataFrame:
-    """A fold over each key's rows in an order; rows are what step (and, after a key's last row, end) returns, under the key.
-
-    The rows of a partition come sorted and are streamed: a task keeps the state of one key and one batch, however
-    many rows a key has. Null keys are one key.
-    """
-    names = [key, *[x.strip().split()[0] for x in schema.split(",")]]
-    out = T.StructType([df.schema[key], *T.StructType.fromDDL(schema).fields])
-    kinds = to_arrow_schema(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, some = None, [], False
-        for batch in batches:
-            done = []
-            for k, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not some or k != now:
-                    if some and end:
-                        done.append((now, *end(state)))
-                    now, state, some = k, start(), True
-                if (got := step(state, values)) is not None:
-                    done.append((k, *got))
-            yield made(done)
-        if some and end:
-            yield made([(now, *end(state))])
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], names)
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, out)
-
-
 def batch_by_bytes(df: DataFrame, group: str, order: str, size: str, limit: int, header: int = 0) -> DataFrame:
     """Greedy batches of a group's rows in order: one opens when the next row would pass the limit; an oversized row
-    goes alone. group, order, size, batch. A null size counts as 0.
+    goes alone. group, order, size, batch. A null size counts as 0, as does a negative one in what a batch holds.
+
+    The next batch's first row is found by binary search on sums of sizes; see runs.chained for groups of any size.
     """
-    pairs = df.select(group, order, F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias(size))
+    part, pos = "part", "pos"
+    names = {group: "_group", order: "_order", size: "_size"}
+    rows = df.select(F.col(group).alias("_group"), F.col(order).alias("_order"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("_size"))
+    rows = in_parts(rows, ["_group", "_order", "_size"], part, pos).withColumn("size", F.greatest("_size", F.lit(0))).withColumn("at", F.lit(0).cast("long"))
+    rows = rows.select("_group", part, pos, "at", "size", "_order", "_size")
+
+    def made(table: pa.Table, base: int) -> runs.Segment:
+        held = table.column("size").to_numpy()
+        upto = base + np.cumsum(held)
+        return runs.Segment(upto, upto - held + limit - header + 1)
 
-    def step(state: list, row: tuple) -> tuple:
-        batch, used, n = state
-        if n and used + row[1] > limit:
-            batch, used, n = batch + 1, header, 0
-        state[:] = batch, used + row[1], n + 1
-        return row[0], row[1], batch
+    def out(table: pa.Table, start: np.ndarray, so_far: np.ndarray) -> list:
+        return [table.column("_group"), table.column("_order"), table.column("_size"), pa.array(so_far - 1)]
 
-    kind = pairs.schema[order].dataType.simpleString()
-    return folded(pairs, group, [order, size], lambda: [0, header, 0], step, f"{order} {kind}, {size} bigint, batch bigint")
+    fields = [*(T.StructField(n, rows.schema[n].dataType) for n in ("_group", "_order", "_size")), T.StructField("batch", T.LongType())]
+    got = runs.chained(rows, "_group", made, out, T.StructType(fields), size=True)
+    return got.select(*(F.col(own).alias(name) for name, own in names.items()), "batch")
 
 
 def circuit_breaker(log: DataFrame, key: str, order: str, ok: str, run: int = 10, stop: int = 3) -> DataFrame:
-    """Attempts that are reached, with ``trip``: every run-th failure in a row trips; nothing follows the stop-th trip."""
-    w = Window.partitionBy(key).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    good = F.col(ok).cast("int")
-    x = log.withColumn("_isl", F.sum(good).over(upto))
-    x = x.withColumn("_rn", F.sum(1 - good).over(Window.partitionBy(key, "_isl").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("trip", (good == 0) & (F.col("_rn") % run == 0))
-    before = F.coalesce(F.sum(F.col("trip").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return x.withColumn("_b", before).filter(F.col("_b") < stop).drop("_isl", "_rn", "_b")
+    """Attempts that are reached, with ``trip``: every run-th failure in a row trips; nothing follows the stop-th trip.
+
+    A key's log may lie in several parts: streaks and trips are carried over them (runs.breaker).
+    """
+    return runs.breaker(log, key, order, ok, run, stop)
 
 
 def lease_grants(log: DataFrame, key: str, seconds: str, ttl: int = 600) -> DataFrame:
-    """(key, granted at): a claim is granted if the last grant is ttl seconds old. One fold over a key's ordered claims; claims without a time are none."""
-    times = log.select(key, F.col(seconds).cast("bigint").alias("granted")).filter("granted is not null")
+    """(key, granted at): a claim is granted if the last grant is ttl seconds old; claims without a time are none.
 
-    def step(state: list, row: tuple) -> tuple | None:
-        if not state or row[0] - state[0] >= ttl:
-            state[:] = row
-            return (row[0],)
-        return None
+    The next grant is found by binary search on times; see runs.chained for keys of any size.  ttl is above 0.
+    """
+    times = log.select(F.col(key).alias("_key"), F.col(seconds).cast("bigint").alias("at")).filter("at is not null")
+    rows = in_parts(times, ["_key", "at"], "part", "pos").select("_key", "part", "pos", "at")
 
-    return folded(times, key, ["granted"], list, step, "granted bigint")
+    def made(table: pa.Table, base: int) -> runs.Segment:
+        at = table.column("at").to_numpy()
+        return runs.Segment(at, at + ttl)
 
+    def out(table: pa.Table, start: np.ndarray, so_far: np.ndarray) -> list:
+        return [table.column("_key").filter(pa.array(start)), table.column("at").filter(pa.array(start))]
 
-def ema(df: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """(key, n, ema) after all values in order; the first value seeds, null values are counted but leave it. A fold over a run's values."""
+    schema = T.StructType([T.StructField("_key", rows.schema["_key"].dataType), T.StructField("granted", T.LongType())])
+    return runs.chained(rows, "_key", made, out, schema, size=False).select(F.col("_key").alias(key), "granted")
 
-    def step(state: list, row: tuple) -> None:
-        state[0] += 1
-        if row[1] is not None:
-            state[1] = row[1] if state[1] is None else keep * state[1] + (1 - keep) * row[1]
 
-    rows = df.select(key, order, F.col(value).cast("double").alias("ema"))
-    return folded(rows, key, [order, "ema"], lambda: [0, None], step, "n bigint, ema double", tuple)
+def ema(df: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
+    """(key, n, ema) after all values in order; the first value seeds, null values are counted but leave it.
+
+    Each segment of a run is an affine map of the mean before it; the maps of a key compose in order (runs.ema).
+    """
+    return runs.ema(df, key, order, value, keep)
 
 
 def best_so_far(df: DataFrame, order: str, value: str, key: str | None = None) -> DataFrame:
