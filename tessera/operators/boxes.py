@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import corner_box, iou
+from tessera.shared import shared_dir, written
 
 
 def annotations(boxes: DataFrame, sizes: DataFrame, width: int = 700, height: int = 600) -> DataFrame:
@@ -60,16 +64,51 @@ def reject_large(boxes: DataFrame, most: float = 0.90) -> DataFrame:
     return boxes.filter(F.col("w") * F.col("h") <= most)
 
 
-def iou_pairs(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id") -> DataFrame:
-    """Pairs of boxes of an image that overlap by more than the threshold: image, keep, drop, iou.
+def _crowded(boxes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Boxes of images with up to ``most`` of them, and those of the others."""
+    crowd = boxes.groupBy("image").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(F.col("image").alias("_image"))
+    same = F.col("image").eqNullSafe(F.col("_image"))
+    return boxes.join(crowd, same, "left_anti"), boxes.join(crowd, same, "left_semi")
 
-    keep is the one with the higher score (the lower id of equals). Pairs are within an image, which has few boxes.
+
+def _tiled(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Each box in the tiles that it touches on grids at least as wide and high as itself: _i and _j are the grid's steps.
+
+    Boxes that overlap by more than the threshold differ in width and height by 1 / threshold at most, so both are on
+    the grid of the wider one's width and the higher one's height.
     """
-    a, b = boxes.alias("a"), boxes.alias("b")
-    better = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")))
+    more = math.ceil(math.log2(1 / threshold))
+    own = boxes.filter("w > 0 and h > 0 and cx is not null and cy is not null and not isnan(cx) and not isnan(cy) and not isnan(w) and not isnan(h)")
+    for i, size in (("_i", "w"), ("_j", "h")):
+        own = own.withColumn(f"{i}own", F.ceil(F.log2(size)).cast("int")).withColumn(i, F.explode(F.sequence(f"{i}own", F.col(f"{i}own") + more)))
+    for t, c, size, i in (("_x", "cx", "w", "_i"), ("_y", "cy", "h", "_j")):
+        tile = lambda at, i=i: F.floor(at / F.pow(F.lit(2.0), i))
+        own = own.withColumn(t, F.explode(F.sequence(tile(F.col(c) - F.col(size) / 2), tile(F.col(c) + F.col(size) / 2))))
+    return own
+
+
+def iou_pairs(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id", crowd: int = 64) -> DataFrame:
+    """Pairs of boxes of an image that overlap by more than the threshold (above 0): image, keep, drop, iou.
+
+    keep is the one with the higher score (the lower id of equals).  Boxes of images with more than ``crowd`` of them
+    meet in tiles (_tiled) and count in the one where their intersection begins, so no image makes all its pairs;
+    those of other images meet by image.
+    """
+    if not threshold > 0:
+        raise ValueError("overlaps are found for thresholds above 0")
     side = lambda t: {c: F.col(f"{t}.{c}") for c in ("cx", "cy", "w", "h")}
-    pairs = a.join(b, (F.col("a.image") == F.col("b.image")) & better)
-    return pairs.select(F.col("a.image").alias("image"), F.col(f"a.{id_col}").alias("keep"), F.col(f"b.{id_col}").alias("drop"), iou(side("a"), side("b")).alias("iou")).filter(F.col("iou") > threshold)
+    better = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")))
+    named = [F.col("a.image").alias("image"), F.col(f"a.{id_col}").alias("keep"), F.col(f"b.{id_col}").alias("drop"), iou(side("a"), side("b")).alias("iou")]
+    few, many = _crowded(boxes.select("image", id_col, "cx", "cy", "w", "h", "score"), crowd)
+    found = few.alias("a").join(few.alias("b"), (F.col("a.image") == F.col("b.image")) & better).select(*named)
+    tiles = _tiled(many, threshold)
+    same = better & (F.col("a.image") == F.col("b.image"))
+    for c in ("_i", "_j", "_x", "_y"):
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    for i, t, c, size in (("_i", "_x", "cx", "w"), ("_j", "_y", "cy", "h")):
+        begins = F.greatest(F.col(f"a.{c}") - F.col(f"a.{size}") / 2, F.col(f"b.{c}") - F.col(f"b.{size}") / 2)
+        same &= (F.col(f"a.{i}") == F.greatest(F.col(f"a.{i}own"), F.col(f"b.{i}own"))) & (F.col(f"a.{t}") == F.floor(begins / F.pow(F.lit(2.0), F.col(f"a.{i}"))))
+    return found.union(tiles.alias("a").join(tiles.alias("b"), same).select(*named)).filter(F.col("iou") > threshold)
 
 
 def best_box(boxes: DataFrame, id_col: str = "box_id") -> DataFrame:
@@ -79,48 +118,77 @@ def best_box(boxes: DataFrame, id_col: str = "box_id") -> DataFrame:
     return top.select(*(F.col(c if c == "image" else f"_b.{c}").alias(c) for c in boxes.columns))
 
 
-def nms(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id", mode: str = "nms") -> DataFrame:
+def _greedy(box: np.ndarray, threshold: float) -> np.ndarray:
+    """Places of the boxes (cx, cy, w, h; best first) that no kept one overlaps by more than the threshold."""
+    cx, cy, w, h = box.T
+    x1, y1, x2, y2, area = cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2, w * h
+    left, kept = np.arange(len(box)), []
+    while len(left):
+        i, left = left[0], left[1:]
+        kept.append(i)
+        inter = np.maximum(np.minimum(x2[left], x2[i]) - np.maximum(x1[left], x1[i]), 0.0) * np.maximum(np.minimum(y2[left], y2[i]) - np.maximum(y1[left], y1[i]), 0.0)
+        whole = area[left] + area[i] - inter
+        left = left[~(np.divide(inter, whole, out=np.zeros_like(inter), where=whole > 0) > threshold)]
+    return np.array(kept, np.int64)
+
+
+def suppressed(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id") -> DataFrame:
+    """(image, id) that greedy suppression drops, without an image in one task: rounds over the graph of overlaps.
+
+    Of the undecided boxes, those that no better undecided one overlaps are kept, and what they overlap is dropped.
+    As many rounds as the longest chain of boxes, each overlapped by a better one, has undecided links; in crowds
+    few.  Ids are unique in an image.  Every round is stored.
+    """
+    folder = shared_dir(boxes.sparkSession, "suppression")
+    open_ = written(iou_pairs(boxes, threshold, id_col, crowd=0).select("image", "keep", "drop"), f"{folder}/round-0")
+    gone, turn = open_.select("image", F.col("drop").alias(id_col)).limit(0), 0
+    while not open_.isEmpty():
+        turn += 1
+        best = open_.select("image", F.col("keep").alias("_k")).distinct().join(open_.select("image", F.col("drop").alias("_k")).distinct(), ["image", "_k"], "left_anti")
+        dropped = written(open_.join(best, (open_["image"] == best["image"]) & (open_["keep"] == best["_k"]), "left_semi").select("image", "drop").distinct(), f"{folder}/dropped-{turn}")
+        for side in ("keep", "drop"):
+            far = dropped.select(F.col("image").alias("_i"), F.col("drop").alias("_d"))
+            open_ = open_.join(far, (F.col("image") == F.col("_i")) & (F.col(side) == F.col("_d")), "left_anti")
+        open_ = written(open_, f"{folder}/round-{turn}")
+        gone = gone.union(dropped)
+    return gone
+
+
+def nms(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id", mode: str = "nms", crowd: int = 1000) -> DataFrame:
     """Greedy suppression per image: by score, drop what overlaps a kept box by more than the threshold.
 
-    mode: 'nms', 'best' (one box) or 'all'. Greedy order is sequential, so an image's boxes meet in one task; they stream
-    through partitions sorted by image, never more than one image at a time.
+    mode: 'nms', 'best' (one box) or 'all'.  Images with up to ``crowd`` boxes stream through partitions sorted by
+    image, one image at a time; those with more go through rounds over their overlaps (``suppressed``).
     """
     if mode == "all":
         return boxes
     if mode == "best":
         return best_box(boxes, id_col)
+    few, many = _crowded(boxes, crowd)
 
-    names = boxes.columns
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_image(batches):
+            box = np.stack([np.asarray(rows.column(c).to_numpy(), float) for c in ("cx", "cy", "w", "h")], 1)
+            yield from rows.take(pa.array(_greedy(box, threshold))).combine_chunks().to_batches()
 
-    def kept(rows: list) -> list:
-        out = []
-        for r in rows:
-            x1, y1, x2, y2, area = r.cx - r.w / 2, r.cy - r.h / 2, r.cx + r.w / 2, r.cy + r.h / 2, r.w * r.h
-            for _, a1, b1, a2, b2, size in out:
-                inter = max(min(x2, a2) - max(x1, a1), 0.0) * max(min(y2, b2) - max(y1, b1), 0.0)
-                if (whole := area + size - inter) > 0 and inter / whole > threshold:
-                    break
-            else:
-                out.append((r, x1, y1, x2, y2, area))
-        return [x[0] for x in out]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        image, rows = None, []
+    def by_image(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            done = []
-            for r in batch.itertuples(index=False):
-                if rows and r.image != image:
-                    done += kept(rows)
-                    rows = []
-                image = r.image
-                rows.append(r)
-            yield pd.DataFrame(done, columns=names)
-        if rows:
-            yield pd.DataFrame(kept(rows), columns=names)
+            image = batch.column(batch.schema.get_field_index("image")).to_pylist()
+            cuts = [i for i in range(len(image)) if i == 0 or image[i] != image[i - 1]] + [len(image)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and image[a] != held[-1].column(held[-1].schema.get_field_index("image"))[-1].as_py():
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield pa.Table.from_batches(held)
 
     n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = boxes.repartition(n, "image").sortWithinPartitions("image", F.desc("score"), id_col)
-    return dealt.mapInPandas(run, boxes.schema)
+    dealt = few.repartition(n, "image").sortWithinPartitions("image", F.desc("score"), id_col)
+    gone = suppressed(many, threshold, id_col).select(F.col("image").alias("_image"), F.col(id_col).alias("_id"))
+    kept = many.join(gone, (F.col("image") == F.col("_image")) & (F.col(id_col) == F.col("_id")), "left_anti")
+    return dealt.mapInArrow(run, boxes.schema).union(kept)
 
 
 def coco(images: DataFrame, boxes: DataFrame, categories: DataFrame) -> DataFrame:
