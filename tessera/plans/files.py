@@ -7,11 +7,12 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators import features, splits
+from tessera.plans import rows
 from tessera.plans.base import table
 from tessera.plans.reports import split_sql
 from tessera.shared import shared_dir
 from tessera.sources import named_files, readers, writers
-from tessera.streaming import incremental
+from tessera.streaming import incremental, ordered
 
 
 def metadata(spark, sf):
@@ -174,6 +175,32 @@ def stream_new(spark, sf):
     return spark.read.parquet(f"{path}/out").select("doc_id", "size")
 
 
+def _released(spark, sf, name, made):
+    """Events arrive in files, a day and more out of order, then two rows from far later; what a stream makes of them."""
+    path, e = shared_dir(spark, name), table(spark, sf, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    first, last = (r.cast("long") for r in (F.min("ts"), F.max("ts")))
+    span = e.agg(first.alias("a"), last.alias("b")).first()
+    jittered = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(100_000))
+    slot = F.floor((jittered - span.a) * 4 / (span.b - span.a + 100_001))
+    for i in range(4):
+        e.filter(slot == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for far in (1000, 2000):
+        end = e.limit(0).unionByName(spark.createDataFrame([(-1, -far, "end", span.b + far * 86_400)], "user_id long, event_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s").select("user_id", "event_id", "event_type", "ts"))
+        end.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    out = made(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out").filter("user_id >= 0")
+
+
+def stream_leases(spark, sf):
+    return _released(spark, sf, "stream-leases", lambda e: ordered.lease_grants(e, "user_id", "ts", 36_000, "2 days"))
+
+
+def stream_breaker(spark, sf):
+    ok = F.col("event_type") != "error"
+    return _released(spark, sf, "stream-breaker", lambda e: ordered.circuit_breaker(e.withColumn("ok", ok), "user_id", "ts", "event_id", "ok", 2, 3, "2 days", 1000 * 86_400))
+
+
 def stream_counts(spark, sf):
     """Running counts of a stream, refreshed with each micro-batch."""
     path, d = shared_dir(spark, "progress"), table(spark, sf, "documents").select("source", "lang")
@@ -253,6 +280,8 @@ QUERIES = {
         """SELECT source, count(*) FILTER (toxic = 0) AS processed, count(*) FILTER (toxic IS NULL) AS skipped, count(*) FILTER (toxic = 1) AS failed FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""",
     ),
     "stream_new": (stream_new, "SELECT doc_id, length(any_value(text)) AS size FROM documents GROUP BY 1"),
+    "stream_leases": (stream_leases, rows.QUERIES["lease_grants"][1]),
+    "stream_breaker": (stream_breaker, rows.QUERIES["circuit_breaker"][1]),
     "stream_counts": (stream_counts, "SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2"),
     "overlay_items": (overlay_items, OVERLAY_SQL),
     "small_texts": (small_texts, SMALL_SQL),
