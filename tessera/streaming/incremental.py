@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,31 +10,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.streaming.manifest import Manifest
 
-def process_new(stream: DataFrame, process, output: str, manifest: str, key: str, checkpoint: str) -> StreamingQuery:
+
+def process_new(stream: DataFrame, process, output: str, manifest: str, key: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Process rows whose key the manifest lacks; output and manifest are appended, each micro-batch once.
 
-    A batch that is repeated after a failure finds its keys in the manifest only if both were written; its folder
-    is named by the batch's number and overwritten, so nothing is doubled.
+    Of a batch's rows with one key the same one is taken in every run.  A batch that is repeated after a failure finds
+    its own keys under its label and processes them again; its folders are overwritten, so nothing is doubled.  What
+    a batch reads of the manifest follows its own keys (streaming.manifest).
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        fresh = df.dropDuplicates([key])
-        done = spark.read.schema(f"{key} {dict(df.dtypes)[key]}, batch long").option("recursiveFileLookup", True)
+        label = f"{zlib.crc32(checkpoint.encode()):08x}-{number}"
+        ledger = Manifest(df.sparkSession, manifest, key, dict(df.dtypes)[key], buckets)
+        rest = [c for c in df.columns if c != key]
+        one = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")) if rest else df.distinct()
+        fresh = ledger.new(one.select(*(F.col(c if c == key else f"_r.{c}").alias(c) for c in df.columns)), label).persist()
         try:
-            seen = done.parquet(manifest).filter(F.col("batch") != number).select(key)
-            fresh = fresh.join(seen, key, "left_anti")
-        except AnalysisException as e:  # no manifest yet
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        fresh = fresh.persist()
-        process(fresh).write.mode("overwrite").parquet(f"{output}/batch={number}")
-        fresh.select(key, F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{manifest}/batch-{number}")
-        fresh.unpersist()
+            process(fresh).write.mode("overwrite").parquet(f"{output}/batch={label}")
+            ledger.add(fresh, label)
+        finally:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
