@@ -208,10 +208,20 @@ def append_ids(new: DataFrame, order: Sequence[str], existing: DataFrame, col: s
 
 
 def upsert_registry(entries: DataFrame, key: str, seq: str, scalars: Sequence[str], arrays: Sequence[str]) -> DataFrame:
-    """One row per key: scalars of its first entry; arrays grow by what is new, in order of seq."""
-    first = [F.min_by(F.struct(*scalars), seq).alias("_s")] if scalars else []
-    grown = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(a).alias("a")))), lambda x: x["a"]))).alias(a) for a in arrays]
-    return entries.groupBy(key).agg(*first, *grown).select(key, *(F.col(f"_s.{s}").alias(s) for s in scalars), *arrays)
+    """One row per key: scalars of its first entry; arrays grow by what is new, in order of seq.
+
+    Items are made distinct by key before they are gathered, so a key that has many entries holds no more than its
+    result does.  Null arrays add nothing; a key with null ones only has null.  Null items are items.
+    """
+    first = entries.groupBy(key).agg(*([F.min_by(F.struct(*scalars), seq).alias("_s")] if scalars else [F.count("*").alias("_s")]))
+    out = first.select(key, *(F.col(f"_s.{s}").alias(s) for s in scalars))
+    for a in arrays:
+        items = entries.filter(F.col(a).isNotNull()).select(F.col(key).alias("_k"), F.col(seq).alias("_q"), F.posexplode_outer(a).alias("_p", "_v"))
+        new = items.groupBy("_k", "_v", F.col("_p").isNull().alias("_none")).agg(F.min(F.struct("_q", "_p")).alias("_at"))
+        whole = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_none"), F.struct("_at", F.struct("_v").alias("_v"))))), lambda x: x["_v"]["_v"])
+        grown = new.groupBy("_k").agg(whole.alias(a))
+        out = out.join(grown, out[key].eqNullSafe(grown["_k"]), "left").drop("_k")
+    return out.select(key, *scalars, *arrays)
 
 
 # sets

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators import features, splits
+from tessera.operators.registry import Registry
 from tessera.plans import rows
 from tessera.plans.base import table
 from tessera.plans.reports import split_sql
@@ -123,6 +124,16 @@ def large_registry(spark, sf):
     return readers.registry_ranges(spark, path, 1 << 16).select("plant_key", "plant_common", F.array_join("butterfly_species", ",").alias("species"))
 
 
+def registry_stored(spark, sf):
+    """A stored registry that events reach in three upserts."""
+    entries = rows.registry_entries(table(spark, sf, "events"))
+    kept = Registry(spark, shared_dir(spark, "stored-registry"), "user_id", "long", {"event_type": "string", "day": "string"}, {"types": "array<string>", "days": "array<string>"})
+    last = entries.agg(F.max("event_id")).first()[0]
+    for i in range(3):
+        kept.upsert(entries.filter(F.col("event_id").between(last * i // 3 + (i > 0), last * (i + 1) // 3)), "event_id")
+    return rows.registry_row(kept.read())
+
+
 def annotation_tables(spark, sf):
     path, o, li = shared_dir(spark, "tables"), table(spark, sf, "orders"), table(spark, sf, "lineitem")
     images = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("file_name"))
@@ -268,6 +279,7 @@ QUERIES = {
  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     ),
     "large_registry": (large_registry, """SELECT c_name || '"é' AS plant_key, c_mktsegment AS plant_common, c_name || ',}]' AS species FROM customer"""),
+    "registry_stored": (registry_stored, rows.QUERIES["registry_upsert"][1]),
     "annotation_tables": (annotation_tables, "SELECT o_orderkey AS id, o_orderstatus AS file_name, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"),
     "class_file": (classes, "SELECT row_number() OVER (ORDER BY source, slug) - 1 AS class_id, slug FROM (SELECT 0 AS source, source AS slug FROM documents UNION SELECT 1, p_brand FROM part)"),
     "registry_file": (registry, "SELECT n_name AS plant_key, 'r' || n_regionkey AS plant_common, n_name || ',x' AS species FROM nation"),

@@ -86,9 +86,16 @@ def candidate_lookup(o, c):
     return tables.lookup_ordered(rows, [name(F.col("o_custkey")), name(F.col("o_custkey") + 1), name(F.col("o_custkey") + 3)], dim, "k", "o_orderkey")
 
 
-def registry(e):
+def registry_entries(e):
     x = e.select("user_id", "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    out = tables.upsert_registry(x.withColumns({"types": F.array("event_type"), "days": F.array("day")}), "user_id", "event_id", ["event_type", "day"], ["types", "days"])
+    return x.withColumns({"types": F.array("event_type"), "days": F.array("day")})
+
+
+def registry(e):
+    return registry_row(tables.upsert_registry(registry_entries(e), "user_id", "event_id", ["event_type", "day"], ["types", "days"]))
+
+
+def registry_row(out):
     return out.select("user_id", "event_type", "day", F.array_join("types", ",").alias("types"), F.size("days").alias("n_days"), F.array_join(F.slice("days", 1, 3), ",").alias("first_days"))
 
 
