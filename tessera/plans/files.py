@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
-from tessera.operators import features, splits
+from tessera.operators import features, sketches, splits
 from tessera.operators.registry import Registry
 from tessera.plans import rows
 from tessera.plans.base import table
@@ -134,6 +134,24 @@ def registry_stored(spark, sf):
     return rows.registry_row(kept.read())
 
 
+def sketched_audit(spark, sf):
+    """Daily sketches of events, kept in two steps and merged, beside exact figures: whether each is within its bound."""
+    e = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("value", F.col("value").cast("double"))
+    kept = sketches.Audit(spark, shared_dir(spark, "sketches"), "day", ["event_type", "user_id", "event_id"], ["value"])
+    middle = F.substring("day", 10, 1).cast("int") < 5
+    kept.add(e.filter(middle))
+    kept.add(e.filter(~middle))
+    exact = e.agg(*(F.countDistinct(c).alias(c) for c in ("event_type", "user_id", "event_id"))).unpivot([], ["event_type", "user_id", "event_id"], "field", "exact")
+    distinct = kept.distinct().join(exact, "field").select(F.concat(F.lit("distinct "), "field").alias("what"), "rows", (F.abs(F.col("distinct") - F.col("exact")) <= 0.02 * F.col("exact") + 1).alias("near"))
+    counts = e.groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("exact"))
+    common = kept.commonest("event_type", 3).join(counts, "value").select(F.concat(F.lit("common "), "value").alias("what"), F.col("n").alias("rows"), (F.col("n") == F.col("exact")).alias("near"))
+    at = kept.quantiles("value", [0.1, 0.5, 0.9]).withColumnRenamed("value", "_v")
+    below = e.select("value").crossJoin(F.broadcast(at)).groupBy("rank").agg(F.count("value").alias("rows"), F.sum((F.col("value") < F.col("_v")).cast("long")).alias("less"), F.sum((F.col("value") <= F.col("_v")).cast("long")).alias("most"))
+    slack = 0.02 * F.col("rows")
+    order = below.select(F.concat(F.lit("quantile "), F.col("rank").cast("string")).alias("what"), "rows", ((F.col("less") <= F.col("rank") * F.col("rows") + slack) & (F.col("most") >= F.col("rank") * F.col("rows") - slack)).alias("near"))
+    return distinct.union(common).union(order)
+
+
 def annotation_tables(spark, sf):
     path, o, li = shared_dir(spark, "tables"), table(spark, sf, "orders"), table(spark, sf, "lineitem")
     images = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("file_name"))
@@ -280,6 +298,12 @@ QUERIES = {
     ),
     "large_registry": (large_registry, """SELECT c_name || '"é' AS plant_key, c_mktsegment AS plant_common, c_name || ',}]' AS species FROM customer"""),
     "registry_stored": (registry_stored, rows.QUERIES["registry_upsert"][1]),
+    "sketched_audit": (
+        sketched_audit,
+        """WITH t AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)
+ SELECT 'distinct ' || f AS what, count(*) AS rows, true AS near FROM events, (VALUES ('event_type'), ('user_id'), ('event_id')) v(f) GROUP BY 1
+ UNION ALL SELECT 'common ' || event_type, n, true FROM t UNION ALL SELECT 'quantile ' || q, count(value), true FROM events, (VALUES ('0.1'), ('0.5'), ('0.9')) v(q) GROUP BY 1""",
+    ),
     "annotation_tables": (annotation_tables, "SELECT o_orderkey AS id, o_orderstatus AS file_name, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"),
     "class_file": (classes, "SELECT row_number() OVER (ORDER BY source, slug) - 1 AS class_id, slug FROM (SELECT 0 AS source, source AS slug FROM documents UNION SELECT 1, p_brand FROM part)"),
     "registry_file": (registry, "SELECT n_name AS plant_key, 'r' || n_regionkey AS plant_common, n_name || ',x' AS species FROM nation"),
