@@ -9,7 +9,9 @@ that is written again after a lost executor has the same content.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -111,7 +113,8 @@ def mapped(uri: str) -> np.ndarray:
     """
     path = _local(uri)
     if path is not None:
-        return np.memmap(path, np.uint8, "r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, np.uint8)
+        with open(path, "rb") as f:
+            return _map(f)
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(uri)
@@ -119,7 +122,15 @@ def mapped(uri: str) -> np.ndarray:
         while block := f.read(8 << 20):
             g.write(block)
         g.flush()
-        return np.memmap(g, np.uint8, "r").view(np.ndarray) if g.tell() else np.empty(0, np.uint8)
+        return _map(g)
+
+
+def _map(f) -> np.ndarray:
+    """An open file's bytes; the map holds no file descriptor where Python can do without (from 3.13 on)."""
+    if not os.fstat(f.fileno()).st_size:
+        return np.empty(0, np.uint8)
+    free = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+    return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **free), np.uint8)
 
 
 class Words(dict):
@@ -260,9 +271,12 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
 
 
 class Maps:
-    """Memory maps of a folder's files; the least recently used are closed when too many are open."""
+    """Memory maps of a folder's files; the least recently used are closed when too many are open.
+
+    Linux gives a process 65,530 maps unless told otherwise; maps that hold no descriptor have no other bound.
+    """
 
-    def __init__(self, folder: str, most: int = 2048):
+    def __init__(self, folder: str, most: int = 30_000 if sys.version_info >= (3, 13) else 2048):
         self.folder, self.most = folder, most
         self._open: OrderedDict[str, np.ndarray] = OrderedDict()
 
@@ -300,7 +314,7 @@ class Lookup:
     def __init__(self, folder: str, sizes: dict[int, int], n_shards: int, columns: dict[str, str]):
         self.maps, self.sizes, self.n, self.columns = Maps(folder), sizes, n_shards, columns
         self.base = np.cumsum(np.r_[0, [sizes.get(s, 0) for s in range(n_shards)]])
-        self.total = 0
+        self.total, self.back = 0, False
 
     @staticmethod
     def save(folder: str, shard: int, keys: np.ndarray, *values: np.ndarray) -> None:
@@ -320,7 +334,9 @@ class Lookup:
         Keys in order are found much faster.
         """
         out = {"found": np.zeros(len(keys), bool), "rank": np.zeros(len(keys), np.int64)} | {c: np.zeros(len(keys), k) for c, k in self.columns.items()}
-        for s, part in by_shard(shard_of(keys, self.n), self.n):
+        # every other time from the last shard to the first: what is still mapped comes first
+        parts, self.back = list(by_shard(shard_of(keys, self.n), self.n)), not self.back
+        for s, part in parts if self.back else reversed(parts):
             if not self.sizes.get(s):
                 continue
             own, q = self.shard(s), keys[part]
