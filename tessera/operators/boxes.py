@@ -28,31 +28,34 @@ def with_fallback(images: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def annotated(images: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame], image: str = "image") -> DataFrame:
-    """Boxes that a detector finds, image by image: image, cx, cy, w, h, score, fallback.
+    """Boxes that a detector finds, image by image: image, cx, cy, w, h, score, fallback, error.
 
-    ``detect`` gets a batch of rows and returns rows with the image, the box and a score. Where it raises, the batch
+    ``detect`` gets a batch of rows and returns rows with the image, the box and a score.  Where it raises, the batch
     is tried row by row; an image that it fails on or finds nothing in gets the box of the whole image (fallback,
-    score null). A null image is passed on like any other.
+    score null), and ``error`` says why it failed.  A null image is passed on like any other.
     """
     columns = ["cx", "cy", "w", "h", "score"]
     whole = {"cx": 0.5, "cy": 0.5, "w": 1.0, "h": 1.0, "score": None, "fallback": True}
 
-    def found(batch: pd.DataFrame) -> pd.DataFrame:
+    def found(batch: pd.DataFrame, errors: dict) -> pd.DataFrame:
         try:
             return detect(batch)[[image, *columns]]
-        except Exception:  # noqa: BLE001 - a detector may raise anything; rows that it can read still count
+        except Exception as e:  # noqa: BLE001 - a detector may raise anything; what it says is kept
             if len(batch) <= 1:
+                errors.update({x: f"{type(e).__name__}: {e}"[:500] for x in batch[image]})
                 return pd.DataFrame(columns=[image, *columns])
-            return pd.concat([found(batch.iloc[[i]]) for i in range(len(batch))], ignore_index=True)
+            return pd.concat([found(batch.iloc[[i]], errors) for i in range(len(batch))], ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = found(batch).assign(fallback=False)
+            errors: dict = {}
+            got = found(batch, errors).assign(fallback=False, error=None)
             rest = batch.loc[~batch[image].isin(got[image]), [image]].assign(**whole)
+            rest["error"] = [errors.get(x) for x in rest[image]]
             yield pd.concat([x for x in (got, rest) if len(x)], ignore_index=True) if len(got) + len(rest) else rest
 
     kind = images.schema[image].dataType.simpleString()
-    return images.mapInPandas(run, f"{image} {kind}, cx double, cy double, w double, h double, score double, fallback boolean")
+    return images.mapInPandas(run, f"{image} {kind}, cx double, cy double, w double, h double, score double, fallback boolean, error string")
 
 
 def yolo_lines(boxes: DataFrame) -> DataFrame:

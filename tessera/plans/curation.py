@@ -13,6 +13,7 @@ from tessera.functions.text import clean_text
 from tessera.operators import audit, evaluation
 from tessera.operators.splits import stratified_split
 from tessera.operators.tables import assembled, keep_last, lookup_ordered, numbered
+from tessera.shared import shared_dir, written
 
 
 def split_report(docs: DataFrame) -> DataFrame:
@@ -40,29 +41,33 @@ def statistics(tables: dict[str, DataFrame], tops: dict[str, dict[str, int]], sh
     tops: per table, columns with how many of the commonest values are listed; shared: the same over all tables;
     months of all tables by text; missing fields of each table (value is the field, n the rows without it); splits
     of all tables. A '(k more)' row closes a cut list, and '(total)' gives the rows and, as rank, the different values.
+    All columns of a table are counted in one scan; the counts are stored and every section is made of them.
     """
+    spark = next(iter(tables.values())).sparkSession
     none, parts = F.lit(None).cast("double"), []
 
     def add(section: str, part: str, rows: DataFrame, rank: Column, value: Column, n: Column, pct: Column = none) -> None:
         parts.append(rows.select(F.lit(section).alias("section"), F.lit(part).alias("part"), rank.cast("long").alias("rank"), value.cast("string").alias("value"), n.cast("long").alias("n"), pct.alias("pct")))
 
-    def top(section: str, part: str, rows: DataFrame, col: str, k: int) -> None:
-        counts = audit.distribution(rows, col)
+    def top(section: str, part: str, counts: DataFrame, k: int) -> None:
         add(section, part, audit.top_with_tail(counts, "value", k), F.col("rank"), F.col("value"), F.col("n"))
         add(section, part, counts.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")), F.col("c"), F.lit("(total)"), F.col("n"))
 
-    columns = {*shared, date, split}
-    both = reduce(DataFrame.unionByName, (t.select(*(F.col(c).cast("string").alias(c) for c in sorted(columns))) for t in tables.values()))
+    each = [audit.distributions(t, sorted({*tops[name], *shared, split})).withColumn("table", F.lit(name)) for name, t in tables.items()]
+    kept = written(reduce(DataFrame.unionByName, each), shared_dir(spark, "statistics"))
+    of_table = lambda col, name: kept.filter((F.col("field") == col) & (F.col("table") == name)).select("value", "n")
+    of_all = lambda col: kept.filter(F.col("field") == col).groupBy("value").agg(F.sum("n").alias("n"))
+    dates = reduce(DataFrame.unionByName, (t.select(F.col(date).cast("string").alias(date)) for t in tables.values()))
     for name, rows in tables.items():
         add("rows", name, rows.agg(F.count("*").alias("n")), F.lit(0), F.lit("(all)"), F.col("n"))
         for col, k in tops[name].items():
-            top(col, name, rows, col, k)
+            top(col, name, of_table(col, name), k)
         lack = audit.missing_fields(rows, missing[name])
         add("missing", name, lack, F.lit(0), F.col("field"), F.col("missing"), F.col("pct"))
     for col, k in shared.items():
-        top(col, "all", both, col, k)
-    add("months", "all", audit.months_as_text(both, date), F.lit(0), F.col("month"), F.col("n"))
-    counts = audit.distribution(both, split).select(F.col("value").alias("split"), "n")
+        top(col, "all", of_all(col), k)
+    add("months", "all", audit.months_as_text(dates, date), F.lit(0), F.col("month"), F.col("n"))
+    counts = of_all(split).select(F.col("value").alias("split"), "n")
     add("splits", "all", audit.in_fixed_order(counts, "split", ["train", "val", "test"]), F.col("position"), F.col("split"), F.col("n"), F.col("pct"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -134,6 +134,16 @@ def registry_stored(spark, sf):
     return rows.registry_row(kept.read())
 
 
+def report_file(spark, sf):
+    """A nested report as JSON, written and read back."""
+    path, e = shared_dir(spark, "report"), table(spark, sf, "events")
+    kinds = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    whole = kinds.agg(F.struct(F.sum("n").alias("rows"), F.count("*").alias("kinds")).alias("totals"), F.array_sort(F.collect_list(F.struct("event_type", "n"))).alias("kinds"))
+    writers.report(whole, path)
+    got = spark.read.schema("totals struct<rows:long,kinds:long>, kinds array<struct<event_type:string,n:long>>").json(path)
+    return got.select("totals.rows", F.col("totals.kinds").alias("n_kinds"), F.inline("kinds"))
+
+
 def sketched_audit(spark, sf):
     """Daily sketches of events, kept in two steps and merged, beside exact figures: whether each is within its bound."""
     e = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("value", F.col("value").cast("double"))
@@ -298,6 +308,7 @@ QUERIES = {
     ),
     "large_registry": (large_registry, """SELECT c_name || '"é' AS plant_key, c_mktsegment AS plant_common, c_name || ',}]' AS species FROM customer"""),
     "registry_stored": (registry_stored, rows.QUERIES["registry_upsert"][1]),
+    "report_file": (report_file, "SELECT sum(count(*)) OVER () AS rows, count(*) OVER () AS n_kinds, event_type, count(*) AS n FROM events GROUP BY event_type"),
     "sketched_audit": (
         sketched_audit,
         """WITH t AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)

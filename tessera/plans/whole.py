@@ -40,7 +40,13 @@ def detect(batch: pd.DataFrame) -> pd.DataFrame:
 
 
 def annotations(spark, sf):
-    return boxes.annotated(image_sizes(table(spark, sf, "orders")), detect)
+    return boxes.annotated(image_sizes(table(spark, sf, "orders")), detect).drop("error")
+
+
+def annotation_errors(spark, sf):
+    """Why images have the box of the whole image, with their number."""
+    made = boxes.annotated(image_sizes(table(spark, sf, "orders")), detect).filter("fallback")
+    return made.groupBy(F.coalesce("error", F.lit("nothing found")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 ANNOTATIONS_SQL = """WITH s AS (SELECT o_orderkey AS image, 600 + o_custkey % 21 * 20 AS width, 500 + o_custkey % 16 * 20 AS height FROM orders),
@@ -127,6 +133,10 @@ EVALUATION_SQL = f"""{PER_CLASS_SQL}, k AS (SELECT CASE WHEN count(*) >= 20 THEN
 QUERIES = {
     "enriched_records": (records, RECORDS_SQL),
     "annotated_boxes": (annotations, ANNOTATIONS_SQL),
+    "annotation_errors": (
+        annotation_errors,
+        """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'ValueError: unreadable' ELSE 'nothing found' END AS reason, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 11 = 0 GROUP BY 1""",
+    ),
     "statistics_report": (stats, STATS_SQL),
     "audit_report": (audited, AUDIT_SQL),
     "evaluation_report": (evaluated, EVALUATION_SQL),
