@@ -30,21 +30,29 @@ def with_fallback(images: DataFrame, boxes: DataFrame) -> DataFrame:
 def annotated(images: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame], image: str = "image") -> DataFrame:
     """Boxes that a detector finds, image by image: image, cx, cy, w, h, score, fallback, error.
 
-    ``detect`` gets a batch of rows and returns rows with the image, the box and a score.  Where it raises, the batch
-    is tried row by row; an image that it fails on or finds nothing in gets the box of the whole image (fallback,
-    score null), and ``error`` says why it failed.  A null image is passed on like any other.
+    ``detect`` gets a batch of rows and returns rows with the image, the box and a score.  An image that it cannot read
+    it may say so of in a column ``error``, in a row without a box.  Where it raises, the batch is halved until the row
+    it fails on is alone, which is for rare failures: many cost a call for each row.  An image that it fails on or finds
+    nothing in gets the box of the whole image (fallback, score null), and ``error`` says why it failed.  A null image
+    is passed on like any other.
     """
     columns = ["cx", "cy", "w", "h", "score"]
     whole = {"cx": 0.5, "cy": 0.5, "w": 1.0, "h": 1.0, "score": None, "fallback": True}
 
     def found(batch: pd.DataFrame, errors: dict) -> pd.DataFrame:
         try:
-            return detect(batch)[[image, *columns]]
+            got = detect(batch)
+            failed = got["error"].notna() if "error" in got else pd.Series(False, got.index)
+            said, got = dict(zip(got.loc[failed, image], got.loc[failed, "error"], strict=True)) if failed.any() else {}, got.loc[~failed, [image, *columns]]
         except Exception as e:  # noqa: BLE001 - a detector may raise anything; what it says is kept
             if len(batch) <= 1:
                 errors.update({x: f"{type(e).__name__}: {e}"[:500] for x in batch[image]})
                 return pd.DataFrame(columns=[image, *columns])
-            return pd.concat([found(batch.iloc[[i]], errors) for i in range(len(batch))], ignore_index=True)
+            half = len(batch) // 2
+            parts = [x for x in (found(batch.iloc[:half], errors), found(batch.iloc[half:], errors)) if len(x)]
+            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[image, *columns])
+        errors.update({x: str(why)[:500] for x, why in said.items()})
+        return got
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -30,12 +30,16 @@ RECORDS_SQL = """WITH f AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orde
 
 
 def detect(batch: pd.DataFrame) -> pd.DataFrame:
-    """A rule in a detector's place: some images have no box, some two, and some cannot be read."""
-    if (batch["image"] % 11 == 0).any():
+    """A rule in a detector's place: some images have no box, some two, and some cannot be read.
+
+    It says so of most of these; each thousandth makes it fail.
+    """
+    bad = batch["image"] % 11 == 0
+    if (batch["image"] % 11_000 == 0).any():
         raise ValueError("unreadable")
-    one = batch[batch["image"] % 5 != 0]
+    one = batch[~bad & (batch["image"] % 5 != 0)]
     two = one[one["image"] % 3 == 0]
-    rows = pd.concat([one.assign(cx=0.25, score=0.9), two.assign(cx=0.75, score=0.5)], ignore_index=True)
+    rows = pd.concat([one.assign(cx=0.25, score=0.9), two.assign(cx=0.75, score=0.5), batch.loc[bad, ["image"]].assign(error="ValueError: unreadable")], ignore_index=True)
     return rows.assign(cy=rows["height"] / 2000, w=rows["width"] / 4000, h=0.5)
 
 

@@ -92,6 +92,35 @@ def test_annotator_falls_back(spark):
     assert boxes.annotated(images.limit(0), detect).count() == 0
 
 
+def test_annotator_calls_few_times():
+    import pandas as pd
+
+    calls = []
+
+    def detect(batch):
+        calls.append(len(batch))
+        if (batch["image"] == 777).any():
+            raise KeyError("broken")
+        rows = pd.DataFrame({"image": batch["image"], "cx": 0.1, "cy": 0.2, "w": 0.3, "h": 0.4, "score": 0.9, "error": None})
+        rows.loc[rows["image"] % 3 == 0, "error"] = "unreadable"
+        return rows
+
+    class Images:
+        """A frame's schema, and the function run at once on one batch."""
+
+        schema = {"image": type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "long")})})}
+
+        @staticmethod
+        def mapInPandas(run, kinds):  # noqa: N802 - Spark's name
+            return pd.concat(run(iter([pd.DataFrame({"image": range(4000)})])))
+
+    got = boxes.annotated(Images, detect)
+    assert len(calls) < 30 and len(got) == 4000 and got["image"].nunique() == 4000
+    why = got.set_index("image")["error"]
+    assert why[777] == "KeyError: 'broken'" and why[3] == "unreadable" and why[1] is None
+    assert set(got.loc[got["fallback"], "image"]) == {i for i in range(4000) if i % 3 == 0}  # 777 is one of them
+
+
 def test_null_order_values(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 3, 2), ("b", None, 7)], "k string, seq int, v int")
     assert {(r.k, r.v) for r in tables.keep_last(df, "k", "seq").collect()} == {(r.k, r.v) for r in tables.keep_first(df, "k", "seq").collect()} == {("a", 2), ("b", 7)}
