@@ -32,7 +32,8 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 
 
 def is_recent(ts: Column, now: Column, seconds: int = 600) -> Column:
-    return F.unix_timestamp(now) - F.unix_timestamp(ts) < seconds
+    """Whether less than so many seconds, parts of them counted, have passed since."""
+    return F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp")) < seconds * 1_000_000
 
 
 def corner_box(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> Column:

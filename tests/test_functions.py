@@ -85,6 +85,8 @@ def value(spark, c):
         (lambda: numbers.top_indices(F.array(*map(S, (1.0, 3.0, 2.0, 3.0))), 3), [1, 3, 2]),
         (lambda: numbers.is_recent(S(dt.datetime(2024, 1, 1, 0, 0)), S(dt.datetime(2024, 1, 1, 0, 9, 59))), True),
         (lambda: numbers.is_recent(S(dt.datetime(2024, 1, 1, 0, 0)), S(dt.datetime(2024, 1, 1, 0, 10))), False),
+        (lambda: numbers.is_recent(S(dt.datetime(2024, 1, 1, 0, 0, 0, 1)), S(dt.datetime(2024, 1, 1, 0, 10))), True),
+        (lambda: numbers.is_recent(S(dt.datetime(2024, 1, 1, 0, 0)), S(dt.datetime(2024, 1, 1, 0, 9, 59, 999_999))), True),
     ],
 )
 def test_literal_cases(spark, make, want):
