@@ -75,11 +75,19 @@ def reject_large(boxes: DataFrame, most: float = 0.90) -> DataFrame:
     return boxes.filter(F.col("w") * F.col("h") <= most)
 
 
+def _crowds(boxes: DataFrame, most: int) -> DataFrame:
+    """Images with more than ``most`` boxes."""
+    return boxes.groupBy("image").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(F.col("image").alias("_image"))
+
+
+def _parted(boxes: DataFrame, crowds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    same = F.col("image").eqNullSafe(F.col("_image"))
+    return boxes.join(crowds, same, "left_anti"), boxes.join(crowds, same, "left_semi")
+
+
 def _crowded(boxes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Boxes of images with up to ``most`` of them, and those of the others."""
-    crowd = boxes.groupBy("image").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(F.col("image").alias("_image"))
-    same = F.col("image").eqNullSafe(F.col("_image"))
-    return boxes.join(crowd, same, "left_anti"), boxes.join(crowd, same, "left_semi")
+    return _parted(boxes, _crowds(boxes, most))
 
 
 def _tiled(boxes: DataFrame, threshold: float) -> DataFrame:
@@ -143,6 +151,46 @@ def _greedy(box: np.ndarray, threshold: float) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def _starts(image: pa.Array) -> np.ndarray:
+    """Places where a run of equal images begins; nulls are equal."""
+    try:
+        codes = image.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new = codes[1:] != codes[:-1]
+    except (pa.ArrowNotImplementedError, pa.ArrowInvalid):  # nested keys
+        x = image.to_pylist()
+        new = np.array([a != b for a, b in zip(x[1:], x, strict=False)], bool)
+    return np.flatnonzero(np.r_[len(image) > 0, new])
+
+
+def _greedy_by_image(box: np.ndarray, start: np.ndarray, threshold: float, small: int = 32) -> np.ndarray:
+    """_greedy for many images at once, whose boxes begin at ``start``: places of the kept boxes, in their order.
+
+    In turn k the k-th box of every image that is still there drops what it overlaps in its own; images with more
+    than ``small`` boxes are taken one by one.
+    """
+    end = np.r_[start[1:], len(box)]
+    large = end - start > small
+    keep = np.ones(len(box), bool)
+    for a, b in zip(start[large].tolist(), end[large].tolist(), strict=True):
+        keep[a:b] = False
+        keep[a + _greedy(box[a:b], threshold)] = True
+    cx, cy, w, h = box.T
+    x1, y1, x2, y2, area = cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2, w * h
+    at, end = start[~large], end[~large]
+    while len(at):
+        more = at + 1 < end
+        at, end = at[more], end[more]
+        own = keep[at]
+        n = (end - at - 1)[own]
+        i = np.repeat(at[own], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        inter = np.maximum(np.minimum(x2[j], x2[i]) - np.maximum(x1[j], x1[i]), 0.0) * np.maximum(np.minimum(y2[j], y2[i]) - np.maximum(y1[j], y1[i]), 0.0)
+        both = area[j] + area[i] - inter
+        keep[j[np.divide(inter, both, out=np.zeros_like(inter), where=both > 0) > threshold]] = False
+        at = at + 1
+    return np.flatnonzero(keep)
+
+
 def suppressed(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id") -> DataFrame:
     """(image, id) that greedy suppression drops, without an image in one task: rounds over the graph of overlaps.
 
@@ -169,37 +217,43 @@ def nms(boxes: DataFrame, threshold: float = 0.5, id_col: str = "box_id", mode:
     """Greedy suppression per image: by score, drop what overlaps a kept box by more than the threshold.
 
     mode: 'nms', 'best' (one box) or 'all'.  Images with up to ``crowd`` boxes stream through partitions sorted by
-    image, one image at a time; those with more go through rounds over their overlaps (``suppressed``).
+    image, all images of a batch at once; those with more, whose names are stored first, go through rounds over their
+    overlaps (``suppressed``).
     """
     if mode == "all":
         return boxes
     if mode == "best":
         return best_box(boxes, id_col)
-    few, many = _crowded(boxes, crowd)
+    spark = boxes.sparkSession
+    crowds = written(_crowds(boxes, crowd), f"{shared_dir(spark, 'crowds')}")
+    none = crowds.isEmpty()
+    few, many = (boxes, None) if none else _parted(boxes, crowds)
+    columns = boxes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_image(batches):
+        for rows, start in whole_images(batches):
             box = np.stack([np.asarray(rows.column(c).to_numpy(), float) for c in ("cx", "cy", "w", "h")], 1)
-            yield from rows.take(pa.array(_greedy(box, threshold))).combine_chunks().to_batches()
+            yield from rows.take(pa.array(_greedy_by_image(box, start, threshold))).combine_chunks().to_batches()
 
-    def by_image(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
+    def whole_images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Tables of whole images, with the places where these begin."""
+        held: pa.Table | None = None
         for batch in batches:
-            image = batch.column(batch.schema.get_field_index("image")).to_pylist()
-            cuts = [i for i in range(len(image)) if i == 0 or image[i] != image[i - 1]] + [len(image)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and image[a] != held[-1].column(held[-1].schema.get_field_index("image"))[-1].as_py():
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield pa.Table.from_batches(held)
-
-    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = few.repartition(n, "image").sortWithinPartitions("image", F.desc("score"), id_col)
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            start = _starts(rows.column(columns.index("image")).combine_chunks())
+            if len(start) > 1:
+                yield rows.slice(0, int(start[-1])), start[:-1]
+            held = rows.slice(int(start[-1])) if len(start) else None
+        if held is not None and len(held):
+            yield held, np.zeros(1, np.int64)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = few.repartition(n, "image").sortWithinPartitions("image", F.desc("score"), id_col).mapInArrow(run, boxes.schema)
+    if none:
+        return kept
     gone = suppressed(many, threshold, id_col).select(F.col("image").alias("_image"), F.col(id_col).alias("_id"))
-    kept = many.join(gone, (F.col("image") == F.col("_image")) & (F.col(id_col) == F.col("_id")), "left_anti")
-    return dealt.mapInArrow(run, boxes.schema).union(kept)
+    return kept.union(many.join(gone, (F.col("image") == F.col("_image")) & (F.col(id_col) == F.col("_id")), "left_anti"))
 
 
 def coco(images: DataFrame, boxes: DataFrame, categories: DataFrame) -> DataFrame:

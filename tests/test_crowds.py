@@ -67,3 +67,23 @@ def test_a_chain_and_no_boxes(spark):
     assert boxes.nms(spark.createDataFrame([], KINDS)).collect() == []
     with pytest.raises(ValueError, match="above 0"):
         boxes.iou_pairs(spark.createDataFrame(chain, KINDS), 0.0)
+
+
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_images_of_a_batch_are_suppressed_together(spark, size):
+    """Images on both sides of batches' ends, of one box and of many, in bounded Python time."""
+    import numpy as np
+
+    rows = [(f"{r[0]}{r[1] % 5}" if r[1] % 3 else None, *r[1:]) for r in crowd(7)] + [(f"one{i}", i, 0.5, 0.5, 0.25, 0.25, 0.5) for i in range(50)]
+    best = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", -r[6], r[1]))
+    start = np.array([i for i, r in enumerate(best) if i == 0 or r[0] != best[i - 1][0]])
+    box = np.array([r[2:6] for r in best])
+    want = [a + i for a, b in zip(start.tolist(), [*start[1:].tolist(), len(best)], strict=True) for i in boxes._greedy(box[a:b], 0.5).tolist()]
+    assert boxes._greedy_by_image(box, start, 0.5, small=size).tolist() == want
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = boxes.nms(spark.createDataFrame(rows, KINDS)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((str(r.image), r.box_id) for r in got) == sorted((str(best[i][0]), best[i][1]) for i in want)
