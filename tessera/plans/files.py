@@ -215,18 +215,23 @@ def stream_new(spark, sf):
 
 
 def _released(spark, sf, name, made):
-    """Events arrive in files, a day and more out of order, then two rows from far later; what a stream makes of them."""
+    """Events arrive four times, a day and more out of order, then two rows from far later; what a stream makes of them.
+
+    Each arrival is one micro-batch: as many files as a trigger takes, each with a row of user -1 so that none is missing.
+    """
     path, e = shared_dir(spark, name), table(spark, sf, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     first, last = (r.cast("long") for r in (F.min("ts"), F.max("ts")))
     span = e.agg(first.alias("a"), last.alias("b")).first()
     jittered = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(100_000))
     slot = F.floor((jittered - span.a) * 4 / (span.b - span.a + 100_001))
+    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mark = lambda s: spark.range(0, n, 1, n).select(F.lit(-1).cast("long").alias("user_id"), (-F.col("id") - 1).alias("event_id"), F.lit("end").alias("event_type"), F.timestamp_seconds(F.lit(s)).alias("ts"), F.col("id").alias("_file"))
     for i in range(4):
-        e.filter(slot == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        rows = e.filter(slot == i).withColumn("_file", F.pmod(F.xxhash64("event_id", F.lit("file")), F.lit(n))).unionByName(mark(span.a))
+        rows.repartitionById(n, F.col("_file").cast("int")).drop("_file").write.mode("append").parquet(f"{path}/in")
     for far in (1000, 2000):
-        end = e.limit(0).unionByName(spark.createDataFrame([(-1, -far, "end", span.b + far * 86_400)], "user_id long, event_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s").select("user_id", "event_id", "event_type", "ts"))
-        end.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    out = made(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+        mark(span.b + far * 86_400).drop("_file").write.mode("append").parquet(f"{path}/in")
+    out = made(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", n).parquet(f"{path}/in"))
     out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out").filter("user_id >= 0")
 

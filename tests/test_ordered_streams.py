@@ -66,3 +66,34 @@ def test_a_silent_key_begins_anew(spark, tmp_path):
         assert sorted((r.seq, r.trip) for r in got) == [(0, False), (1, False), (2, True), (3, False), (4, False), (5, True), (6, False)]
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_keys_share_calls(monkeypatch):
+    """A bucket's keys are folded in one call, with nulls and whole numbers that doubles do not hold."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.x, self.timers = [], []
+
+        exists = lambda self: bool(self.x)
+        clear = lambda self: self.x.clear()
+        appendValue = lambda self, v: self.x.append(v)  # noqa: E731, N815 - Spark's name
+        put = update = lambda self, v: setattr(self, "x", list(v))
+        registerTimer = lambda self, t: self.timers.append(t)  # noqa: E731, N815 - Spark's name
+        getListState = getValueState = lambda self, name, kind: made.setdefault(name, State())  # noqa: E731, N815 - Spark's names
+        getCurrentWatermarkInMs = lambda self: 1000  # noqa: E731, N815 - Spark's name
+
+        def get(self):
+            return self.x
+
+    made = {}
+    fold = ordered.Ordered(lambda k, rows, state: ([(k, o, len(rows)) for _, o, _ in rows], (1,)), ["k", "o", "n"], 10**6)
+    handle = State()
+    fold.init(handle)
+    big = 2**60 + 1
+    rows = pd.DataFrame({"_ms": [5, 4, 2000, 3], "_key": [big, 0, big, big], "_key_null": [False, True, False, False], "_order": [big, 0, 7, 1], "_order_null": [False, True, False, False], "_value": [1.5, None, 1.0, 2.0], "_value_null": [False] * 4})
+    assert all(len(x) == 0 for x in fold.handleInputRows((3,), iter([rows]), handle))
+    (got,) = fold.handleExpiredTimer((3,), handle, None)
+    assert got.values.tolist() == [[big, 1, 2], [big, big, 2], [None, None, 1]]
+    assert len(made["waiting"].x) == 1 and len(made["states"].x) == 1 and 2000 in handle.timers
