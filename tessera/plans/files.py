@@ -74,9 +74,9 @@ def image_box_files(spark, sf):
     path, boxes = shared_dir(spark, "image-boxes"), _part_boxes(spark, sf)
     for _ in range(2):  # the second time replaces every file
         writers.image_boxes(boxes, path)
-    files = readers.inventory(spark, path, (".txt",)).filter(~F.contains("path", F.lit("/_commits/"))).select(F.url_decode(F.element_at(F.split("path", "/"), -2)).alias("slug"))
-    counts = files.groupBy("slug").agg(F.count("*").alias("files"))
-    return readers.image_boxes(named_files.read_named(spark, path)).join(counts, "slug").select("dataset", "slug", "image", "class_id", "cx", "cy", "w", "h", "files")
+    counts = readers.image_names(named_files.list_named(spark, path)).groupBy(F.col("slug").alias("_slug")).agg(F.count("*").alias("files"))
+    boxes = readers.image_boxes(named_files.read_named(spark, path))
+    return boxes.join(counts, F.col("slug").eqNullSafe(F.col("_slug"))).select("dataset", "slug", "image", "class_id", "cx", "cy", "w", "h", "files")
 
 
 def image_box_stream(spark, sf):

@@ -7,7 +7,8 @@ list of all files goes through the driver.
 
 Read as a batch, the folders are dealt to tasks, which list them (a large folder to several tasks, by a hash of
 names; the commits say which folders there are and how large; a folder without commits is walked); equality on ``file`` or its beginning leaves folders out.  Read as a
-stream, the offset is the number of commits and a batch has the files of the new ones.
+stream, the offset is the number of commits and a batch has the files of the new ones.  A folder is listed by each of
+the tasks that share it, so their number is bounded (``most_tasks``): more files make larger tasks, which stream them.
 
 A file's name is a path below the folder; parts that are empty or begin with . or _ raise an error.  A null line
 gives a file without lines, if no other comes.  Lines hold no line breaks; they are read back without them.
@@ -20,6 +21,7 @@ import json
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -164,9 +166,15 @@ def _lines(store: Store, names: Iterator[str]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(line, pa.string())], ["file", "line"])
 
 
+def _names(names: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    """Files as rows with a null line."""
+    while file := list(islice(names, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.nulls(len(file), pa.string())], ["file", "line"])
+
+
 class Reader(DataSourceReader):
-    def __init__(self, path: str, per_task: int):
-        self.path, self.per_task, self.begins = path, per_task, None
+    def __init__(self, path: str, per_task: int, most_tasks: int = 100, lines: bool = True):
+        self.path, self.per_task, self.most_tasks, self.lines, self.begins = path, per_task, most_tasks, lines, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
         """What ``file`` is or begins with; Spark still checks each row."""
@@ -193,27 +201,28 @@ class Reader(DataSourceReader):
         for name in commits.names():
             for folder, n in commits.load(name)["folders"].items():
                 size[folder] = size.get(folder, 0) + n
+        per_task = max(self.per_task, -(-sum(size.values()) // self.most_tasks))
         out, now, room = [], [], 0
         for folder in sorted(size) or self._walked(commits.store):
             if not self._wanted(folder):
                 continue
-            n = size.get(folder, self.per_task)
-            pieces = -(-n // self.per_task)
+            n = size.get(folder, per_task)
+            pieces = -(-n // per_task)
             for i in range(pieces):
                 now.append((folder, i, pieces))
                 room += n // pieces
-                if room >= self.per_task:
+                if room >= per_task:
                     out.append(Folder(now))
                     now, room = [], 0
         return [*out, Folder(now)] if now else out
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         store = Store(self.path)
-        found = ((folder, short) for folder, piece, pieces in partition.parts for short, is_dir in store.entries(folder) if not is_dir and zlib.crc32(short.encode()) % pieces == piece)
+        found = ((folder, short) for folder, piece, pieces in partition.parts for short in store.files(folder) if zlib.crc32(short.encode()) % pieces == piece)
         names = (f"{folder}/{short}".lstrip("/") for folder, short in found)
         if self.begins is not None:
             names = (n for n in names if n.startswith(tuple(self.begins)))
-        return _lines(store, names)
+        return _lines(store, names) if self.lines else _names(names)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -236,7 +245,7 @@ class StreamReader(DataSourceStreamReader):
 
 
 class NamedFiles(DataSource):
-    """Options: path, files_per_task (1000) to read, source (see Writer) to write."""
+    """Options: path; to read files_per_task (1000), most_tasks (100), lines (true); to write source (see Writer)."""
 
     @classmethod
     def name(cls) -> str:
@@ -249,7 +258,7 @@ class NamedFiles(DataSource):
         return self.options["path"]
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self._path(), int(self.options.get("files_per_task", "1000")))
+        return Reader(self._path(), int(self.options.get("files_per_task", "1000")), int(self.options.get("most_tasks", "100")), self.options.get("lines", "true") == "true")
 
     def streamReader(self, schema: StructType) -> StreamReader:  # noqa: N802 - Spark's name
         return StreamReader(self._path())
@@ -291,5 +300,10 @@ def read_named(spark: SparkSession, path: str, files_per_task: int = 1000) -> Da
     return registered(spark).read.format("named_files").option("path", path).option("files_per_task", files_per_task).load()
 
 
+def list_named(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of a folder's files, listed by tasks; none is opened and the driver sees no names."""
+    return registered(spark).read.format("named_files").option("path", path).option("lines", "false").load().select("file")
+
+
 def stream_named(spark: SparkSession, path: str) -> DataFrame:
     return registered(spark).readStream.format("named_files").option("path", path).load()

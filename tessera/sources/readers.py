@@ -96,6 +96,12 @@ def _named(part: Column) -> Column:
     return F.when(part == "%00", None).when(part == "%20", "").otherwise(F.url_decode(part))
 
 
+def image_names(files: DataFrame) -> DataFrame:
+    """dataset, slug and image of the files' names, as named_files lists them."""
+    f = F.split(F.regexp_replace("file", r"\.txt$", ""), "/")
+    return files.select(*(_named(F.try_element_at(f, F.lit(i))).alias(c) for i, c in ((-3, "dataset"), (-2, "slug"), (-1, "image"))))
+
+
 def image_boxes(lines: DataFrame) -> DataFrame:
     """Boxes of (file, line) rows, read by named_files as a batch or a stream: dataset, slug, image and the five numbers.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from contextlib import suppress
 from typing import BinaryIO
 from urllib.parse import unquote, urlparse
@@ -40,6 +40,16 @@ class Store:
             out = [(f.base_name, f.type == fs.FileType.Directory) for f in self.fs.get_file_info(fs.FileSelector(self.path(name), allow_not_found=True))]
         return sorted(e for e in out if e[0][0] not in "._")
 
+    def files(self, name: str = "") -> Iterator[str]:
+        """Names of a folder's files that are not hidden, one by one, as the folder has them."""
+        if self.fs is not None:
+            yield from (n for n, is_dir in self.entries(name) if not is_dir)
+            return
+        with suppress(FileNotFoundError), os.scandir(self.path(name)) as found:
+            for e in found:
+                if e.name[0] not in "._" and not e.is_dir():
+                    yield e.name
+
     def size(self, name: str = "") -> int:
         return os.path.getsize(self.path(name)) if self.fs is None else self.fs.get_file_info(self.path(name)).size
 

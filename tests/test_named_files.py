@@ -87,3 +87,17 @@ def test_boxes_of_images_with_odd_names(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[3] is not None), key=str)
     N.Store(f"{tmp_path}/w").write("d/s/none.txt", [b"1 2 bad\n", b"1 0 0 1 1\n"])
     assert got.filter("image = 'none'").collect()[0][3:] == (1, 0.0, 0.0, 1.0, 1.0)
+
+
+def test_files_are_listed_by_a_bounded_number_of_tasks(spark, tmp_path):
+    store = N.Store(str(tmp_path))
+    for i in range(50):
+        store.write(f"d/s/im {i}.txt", [b""] if i % 2 else [b"1 0 0 1 1\n"])
+    N._Commits(str(tmp_path)).add([N.Written("x", {"d/s": 50_000_000})])
+    reader = N.Reader(str(tmp_path), 10, 8, lines=False)
+    parts = reader.partitions()
+    assert len(parts) <= 9
+    found = [f for p in parts for b in reader.read(p) for f in b.column(0).to_pylist()]
+    assert sorted(found) == sorted(f"d/s/im {i}.txt" for i in range(50))
+    got = readers.image_names(N.list_named(spark, str(tmp_path)))
+    assert sorted(map(tuple, got.collect())) == sorted(("d", "s", f"im {i}") for i in range(50))
