@@ -92,6 +92,33 @@ def test_annotator_falls_back(spark):
     assert boxes.annotated(images.limit(0), detect).count() == 0
 
 
+def test_pages_are_handed_on_in_lots():
+    import pandas as pd
+
+    from tessera.operators import pages
+
+    lots = []
+
+    class Pages:
+        """A frame's names, and the function run at once on one batch."""
+
+        sparkSession = type("Session", (), {"createDataFrame": staticmethod(lambda rows, kinds: type("Frame", (), {"columns": [x.split()[0] for x in pages.SCHEMA.replace("map<string,string>", "map").split(", ")[:11]], "schema": []}))})  # noqa: N815 - Spark's name
+        select = lambda self, *_: self
+
+        @staticmethod
+        def mapInPandas(run, kinds):  # noqa: N802 - Spark's name
+            html = ["<title>t</title>", None, "<p>" + "x" * pages.CHARS] + ["<title>u</title>"] * 1000
+            lots.extend(run(iter([pd.DataFrame({"page_id": range(len(html)), "html": html})])))
+
+    before, pages.F = pages.F, type("F", (), {"col": staticmethod(lambda c: type("C", (), {"cast": lambda s, k: s, "alias": lambda s, n: s})())})
+    try:
+        pages.read_pages(Pages())
+    finally:
+        pages.F = before
+    assert len(lots[0]) == 3 and max(map(len, lots)) <= pages.PAGES
+    assert [i for x in lots for i in x["page_id"]] == list(range(1003)) and lots[0]["title"].tolist() == ["t", "Unknown Title", "Unknown Title"]
+
+
 def test_annotator_calls_few_times():
     import pandas as pd
 
