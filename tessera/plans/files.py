@@ -206,10 +206,11 @@ def manifest(spark, sf):
 def stream_new(spark, sf):
     """Documents arrive as a stream, twice; each text is processed once."""
     path, d = shared_dir(spark, "stream"), table(spark, sf, "documents").select("doc_id", "text")
-    d.repartition(4).write.parquet(f"{path}/in")
+    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), d.rdd.getNumPartitions())  # files and tasks follow the size
+    d.repartition(n).write.parquet(f"{path}/in")
     for _ in range(2):
-        d.repartition(2).write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        d.repartition(n).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", -(-n // 2)).parquet(f"{path}/in")
         incremental.process_new(stream, lambda x: x.select("doc_id", F.length("text").alias("size")), f"{path}/out", f"{path}/manifest", "doc_id", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", "size")
 

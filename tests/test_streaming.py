@@ -1,7 +1,9 @@
 """Streams against their batch forms."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import workplan
@@ -56,3 +58,18 @@ def test_process_new_once(spark, tmp_path):
         q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 40
     assert spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/manifest").select("key").distinct().count() == 40
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_files_of_arriving_documents_follow_the_partitions(spark, tmp_path, monkeypatch):
+    from tessera.plans import files
+
+    monkeypatch.setattr(files, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        got = files.stream_new(spark, "/root/testdata/sf0.001").select("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(set(got)) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").distinct().count()
+    assert len([f for f in os.listdir(tmp_path / "stream" / "in") if f.endswith(".parquet")]) == 21
