@@ -4,11 +4,13 @@ Reading.  A byte range does not show whether it begins inside a string, nor how
 range, under both assumptions about its beginning, how many quotes end or open strings and how the depth changes: one
 small row for each range.  Quotes alternate, so running sums of these rows give each range the state it begins in.
 A second pass finds the values that open in a range at the wanted depth and follows the last one over the range's
-end.  A task holds one block and one value.
+end; what a block holds is cut out at once.  A task holds one block and one value.  The number of ranges is bounded by
+the session's partitions (``_width``): a longer document makes wider ranges, not more tasks.
 
-Writing.  Rows are stored in their order as JSON text; sums of lengths by part and within parts give every row its
-place in the document, and tasks write their rows there.  A repeated task writes the same bytes to the same places.
-On a store without places in files, one task streams the rows in order.
+Writing.  Each task of the sorted rows joins them to one compressed text and says how long it is; sums of these
+lengths give every text its place in the document, and tasks copy them there.  Rows are sorted and sent once.  A
+repeated task writes the same bytes to the same places.  On a store without places in files, one task streams the
+texts in order.
 """
 
 from __future__ import annotations
@@ -18,18 +20,22 @@ import os
 import re
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.tables import in_parts
-from tessera.shared import unused
+from tessera.shared import shared_dir
 from tessera.sources.storage import Store
 
 RANGE, BLOCK = 32 << 20, 1 << 20
 QUOTE, BACKSLASH = ord('"'), ord("\\")
+#: Ranges of a document for each of the session's shuffle partitions, at most.
+RANGES = 8
 STEP = np.zeros(256, np.int64)
 STEP[[ord("{"), ord("[")]] = 1
 STEP[[ord("}"), ord("]")]] = -1
@@ -43,22 +49,28 @@ class Scan:
     def __init__(self, inside: bool = False, depth: int = 0, escaped: bool = False):
         self.inside, self.depth, self.escaped = inside, depth, escaped
 
-    def block(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(places of brackets outside strings, depth after each)."""
+    def marks(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of all brackets, their steps, whether each lies in a string); the depth is left as it is."""
         x = np.frombuffer(raw, np.uint8)
-        quotes = np.flatnonzero(x == QUOTE)
+        quote = x == QUOTE
         back = np.flatnonzero(x == BACKSLASH)
         if len(back) or self.escaped:
             hidden = self._hidden(back, len(x))
-            quotes = quotes[~np.isin(quotes, hidden)]
-        brackets = np.flatnonzero(STEP[x] != 0)
-        outside = (np.searchsorted(quotes, brackets) + self.inside) % 2 == 0
-        brackets = brackets[outside]
-        depth = self.depth + np.cumsum(STEP[x[brackets]])
+            quote[hidden[hidden < len(x)]] = False
+        quotes = np.flatnonzero(quote)
+        folded = x | 0x20  # [ and ] become { and }
+        brackets = np.flatnonzero((folded == ord("{")) | (folded == ord("}")))
+        within = (np.searchsorted(quotes, brackets) + self.inside) % 2 == 1
         self.inside = bool((self.inside + len(quotes)) % 2)
+        return brackets, STEP[x[brackets]], within
+
+    def block(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(places of brackets outside strings, depth after each)."""
+        brackets, steps, within = self.marks(raw)
+        depth = self.depth + np.cumsum(steps[~within])
         if len(depth):
             self.depth = int(depth[-1])
-        return brackets, depth
+        return brackets[~within], depth
 
     def _hidden(self, back: np.ndarray, size: int) -> np.ndarray:
         """Places that a backslash before them hides: every second one of a run hides the next place."""
@@ -88,11 +100,17 @@ def _escaped_at(f, at: int) -> bool:
     return bool(n % 2)
 
 
-def _blocks(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+def _blocks(f, start: int, end: int, size: int = BLOCK) -> Iterator[tuple[int, bytes]]:
+    """Blocks up to a place; if the first are small, they grow."""
     f.seek(start)
-    while start < end and (raw := f.read(min(BLOCK, end - start))):
+    while start < end and (raw := f.read(min(size, end - start))):
         yield start, raw
-        start += len(raw)
+        start, size = start + len(raw), min(2 * size, BLOCK)
+
+
+def _width(spark: SparkSession, size: int, width: int) -> int:
+    """Ranges of this width, wider if there were more of them than ``RANGES`` for each shuffle partition."""
+    return max(width, -(-size // (RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def _ranges(spark: SparkSession, size: int, width: int) -> DataFrame:
@@ -107,27 +125,31 @@ def _table(rows: list, names: Sequence[str], texts: int = 0) -> pa.RecordBatch:
 
 
 def _entered(ranges: DataFrame, path: str) -> DataFrame:
-    """Ranges with the state each begins in: number, start, end, inside (0 or 1), depth."""
-    names = ("number", "start", "end", "odd", "outside", "within")
+    """Ranges with the state each begins in, number, start, end, inside (0 or 1), depth, and its least depth, low."""
+    names = ("number", "start", "end", "odd", "outside", "within", "low_outside", "low_within")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for number, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                depth, low = [0, 0], [0, 0]  # if the range begins outside a string, and inside
                 with Store(path).open() as f:
-                    hidden = _escaped_at(f, start)
-                    both = [Scan(inside, 0, hidden) for inside in (False, True)]
+                    scan = Scan(False, 0, _escaped_at(f, start))
                     for _, raw in _blocks(f, start, end):
-                        for scan in both:
-                            scan.block(raw)
-                rows.append((number, start, end, int(both[0].inside), both[0].depth, both[1].depth))
+                        _, steps, within = scan.marks(raw)
+                        for i, own in enumerate((steps[~within], steps[within])):
+                            if len(own):
+                                after = depth[i] + np.cumsum(own)
+                                depth[i], low[i] = int(after[-1]), min(low[i], int(after.min()))
+                rows.append((number, start, end, int(scan.inside), *depth, *low))
             yield _table(rows, names)
 
     seen = ranges.mapInArrow(run, ", ".join(f"{n} long" for n in names))
     before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # one small row for each range
     seen = seen.withColumn("inside", F.pmod(F.coalesce(F.sum("odd").over(before), F.lit(0)), F.lit(2)))
-    change = F.when(F.col("inside") == 1, F.col("within")).otherwise(F.col("outside"))
-    return seen.withColumn("depth", F.coalesce(F.sum(change).over(before), F.lit(0))).select("number", "start", "end", "inside", "depth")
+    own = lambda name: F.when(F.col("inside") == 1, F.col(f"{name}within")).otherwise(F.col(f"{name}outside"))
+    seen = seen.withColumn("depth", F.coalesce(F.sum(own("")).over(before), F.lit(0)))
+    return seen.select("number", "start", "end", "inside", "depth", (F.col("depth") + own("low_")).alias("low"))
 
 
 def _key(f, at: int) -> str | None:
@@ -144,35 +166,47 @@ def _key(f, at: int) -> str | None:
         width *= 4
 
 
-def _events(path: str, level: int, start: int, end: int, inside: bool, depth: int, texts: bool) -> Iterator[tuple[int, str | None, bytes | None]]:
-    """(place, key, None) of each section that opens in the range and (place, key, text) of each value.
+def _found(path: str, level: int, start: int, end: int, inside: bool, depth: int, texts: bool) -> Iterator[tuple[np.ndarray, list[str | None] | None, list[bytes] | None]]:
+    """What opens in a range, in order: ([place], [key], None) of a section, (places, keys, texts) of values of a block.
 
-    Sections open from ``level`` - 1 and values from ``level``; a value's key is looked up on level 1 alone.
+    Sections open from ``level`` - 1 and values from ``level``; a value's key is looked up on level 1 alone, else null.
     """
     with Store(path).open() as f, Store(path).open() as keys:
         scan, now, parts = Scan(inside, depth, _escaped_at(f, start)), None, []
-        for at, raw in _blocks(f, start, 1 << 62):
+        for at, raw in chain(_blocks(f, start, end), _blocks(f, end, 1 << 62, 4096)):
             if at >= end and now is None:
                 return
             places, depths = scan.block(raw)
-            opens = np.isin(np.frombuffer(raw, np.uint8)[places], (ord("{"), ord("[")))
-            section, value, close = opens & (depths == level) & (level > 1), opens & (depths == level + 1) & texts, ~opens & (depths == level)
-            begin = 0
-            for i in np.flatnonzero(section | value | close).tolist():
-                p = int(places[i])
-                if close[i]:
-                    if now is not None:
-                        parts.append(raw[begin : p + 1])
-                        yield now, _key(keys, now) if level == 1 else None, b"".join(parts)
-                        now, parts = None, []
-                elif at + p >= end:
-                    return
-                elif value[i]:
-                    now, begin = at + p, p
-                else:
-                    yield at + p, _key(keys, at + p), None
-            if now is not None:
-                parts.append(raw[begin:])
+            opens = STEP[np.frombuffer(raw, np.uint8)[places]] == 1
+            own = opens & (places < end - at)
+            sections = places[own & (depths == level)] if level > 1 else places[:0]
+            if texts:
+                begins, ends = places[own & (depths == level + 1)], places[~opens & (depths == level)] + 1
+                if now is not None:
+                    if not len(ends):
+                        parts.append(raw)
+                        continue
+                    text = b"".join([*parts, raw[: ends[0]]])
+                    yield np.array([now]), [_key(keys, now)] if level == 1 else None, [text]
+                    now, parts, ends = None, [], ends[1:]
+                elif len(ends) and (not len(begins) or ends[0] <= begins[0]):  # of a value that began before the range
+                    ends = ends[1:]
+                if len(begins) > len(ends):
+                    now, parts, begins = at + int(begins[-1]), [raw[begins[-1] :]], begins[:-1]
+                ends = ends[: len(begins)]
+            cuts = np.searchsorted(begins, sections).tolist() if texts else [0] * len(sections)
+            for i, (a, b) in enumerate(pairwise([0, *cuts, len(begins) if texts else 0])):
+                if b > a:
+                    here = begins[a:b] + at
+                    yield here, [_key(keys, p) for p in here.tolist()] if level == 1 else None, [raw[p:q] for p, q in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                if i < len(sections):
+                    yield sections[i : i + 1] + at, [_key(keys, at + int(sections[i]))], None
+
+
+def _events(path: str, level: int, start: int, end: int, inside: bool, depth: int, texts: bool) -> Iterator[tuple[int, str | None, bytes | None]]:
+    """(place, key, None) of each section that opens in the range and (place, key, text) of each value, one by one."""
+    for places, keys, found in _found(path, level, start, end, inside, depth, texts):
+        yield from zip(places.tolist(), keys or [None] * len(places), found or [None] * len(places), strict=True)
 
 
 def values(spark: SparkSession, path: str, level: int, width: int = RANGE) -> DataFrame:
@@ -182,6 +216,7 @@ def values(spark: SparkSession, path: str, level: int, width: int = RANGE) -> Da
     arrays), with the key of the one it is in.  Scalars are left out; an empty document has no values.
     """
     size = Store(path).size()
+    width = _width(spark, size, width)
     n = max(1, -(-size // width))
     ranges = _entered(_ranges(spark, size, width), path).withColumn("section", F.lit(None).cast("string"))
     if level > 1:  # the section that a range begins in: the last one that opened before it
@@ -189,82 +224,105 @@ def values(spark: SparkSession, path: str, level: int, width: int = RANGE) -> Da
         def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for number, start, end, inside, depth, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for number, start, end, inside, depth, low, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     section = None
-                    for _, section, _ in _events(path, level, start, end, bool(inside), depth, False):
+                    for _, section, _ in _events(path, level, start, end, bool(inside), depth, False) if low < level else ():
                         pass
-                    rows.append((number, start, end, inside, depth, section))
-                yield _table(rows, ("number", "start", "end", "inside", "depth", "section"), 1)
+                    rows.append((number, start, end, inside, depth, low, section))
+                yield _table(rows, ("number", "start", "end", "inside", "depth", "low", "section"), 1)
 
-        seen = ranges.repartition(n, "number").mapInArrow(last, "number long, start long, end long, inside long, depth long, section string")
+        seen = ranges.repartition(n).mapInArrow(last, "number long, start long, end long, inside long, depth long, low long, section string")
         before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # one small row for each range
         ranges = seen.withColumn("section", F.last("section", ignorenulls=True).over(before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("place", "section", "value")
         for batch in batches:
-            for _, start, end, inside, depth, section in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows, held = [], 0
-                for place, key, text in _events(path, level, start, end, bool(inside), depth, True):
-                    if text is None:
-                        section = key
+            for _, start, end, inside, depth, _, section in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for places, keys, texts in _found(path, level, start, end, bool(inside), depth, True):
+                    if texts is None:
+                        section = keys[0]
                         continue
-                    rows.append((place, key if level == 1 else section, text.decode()))
-                    held += len(text) + 100
-                    if held > 8 * BLOCK:
-                        yield _table(rows, names, 2)
-                        rows, held = [], 0
-                yield _table(rows, names, 2)
+                    sections = pa.array(keys, pa.string()) if level == 1 else pa.repeat(pa.scalar(section, pa.string()), len(texts))
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), sections, pa.array(texts, pa.string())], ["place", "section", "value"])
 
-    return ranges.repartition(n, "number").mapInArrow(run, "place long, section string, value string")
+    return ranges.repartition(n).mapInArrow(run, "place long, section string, value string")
 
 
-def write_pieces(spark: SparkSession, path: str, pieces: Sequence[bytes | tuple[DataFrame, list[str]]]) -> None:
-    """A document of literal texts and of frames' rows in between: (frame with JSON texts in ``value``, order).
+def write_pieces(spark: SparkSession, path: str, pieces: Sequence[bytes | DataFrame]) -> None:
+    """A document of literal texts and of the JSON texts, ``value``, of sorted frames in between.
 
     A frame's rows are written in their order with commas between them.  The file appears when it is whole.
     """
-    store, at, placed, literal = Store(path), 0, [], []
+    store, at, placed, folder = Store(path), 0, [], shared_dir(spark, "texts")
     for piece in pieces:
         if isinstance(piece, bytes):
-            literal.append((at, piece))
+            placed.append((at, piece, None))
             at += len(piece)
             continue
-        rows, size = _placed(*piece)
-        placed.append(rows.select((F.col("at") + at).alias("at"), "text"))
-        at += size
-    if not placed:
-        store.write("", [b"".join(x for _, x in literal)])
-        return
-    rows = placed[0]
-    for more in placed[1:]:
-        rows = rows.union(more)
+        parts = piece.select("value").mapInArrow(_joined(folder), "part long, name string, size long").collect()  # one small row for each part
+        for i, (_, name, size) in enumerate(sorted(parts)):
+            placed.append((at, b"," if i else b"\n", name))
+            at += size + 1
+    rows = spark.createDataFrame(placed, "at long, text binary, name string")
     if store.fs is not None:
-        lines = spark.createDataFrame(literal, "at long, text binary").union(rows)
-        lines.repartition(1).sortWithinPartitions("at").mapInArrow(_streamed(path), "n long").agg(F.sum("n")).collect()
+        rows.repartition(1).sortWithinPartitions("at").mapInArrow(_copied(folder, _streamed(path)), "n long").agg(F.sum("n")).collect()
         return
     final = store.path()
     os.makedirs(os.path.dirname(final) or ".", exist_ok=True)
     hidden = f"{os.path.dirname(final)}/.{uuid.uuid4().hex}"
     with open(hidden, "wb") as f:
         f.truncate(at)
-        for place, text in literal:
-            f.seek(place)
-            f.write(text)
-    rows.mapInArrow(_at_places(hidden), "n long").agg(F.sum("n")).collect()
+    rows.repartition(len(placed)).mapInArrow(_copied(folder, _at_places(hidden)), "n long").agg(F.sum("n")).collect()
     os.replace(hidden, final)
 
 
-def _placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """(at, text) of a frame's rows from 0 on, and their length; a text begins with a comma, the first with a line break."""
-    part, pos = (unused([*df.columns, "size"], x) for x in ("part", "pos"))
-    rows = in_parts(df.select(*dict.fromkeys([*order, "value"])), order, part, pos).select(part, pos, "value", (F.octet_length("value") + 1).cast("long").alias("size"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    parts = rows.groupBy(part).agg(F.sum("size").alias("size")).select(F.col(part).alias("_p"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"), F.col("size").alias("whole"))
-    total = parts.agg(F.sum("whole")).first()[0] or 0
-    within = F.coalesce(F.sum("size").over(Window.partitionBy(part).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("within", within).join(parts, F.col(part) == F.col("_p")).withColumn("at", F.col("base") + F.col("within"))
-    return placed.select("at", F.concat(F.when(F.col("at") == 0, F.lit("\n")).otherwise(F.lit(",")), "value").cast("binary").alias("text")), total
+def _joined(folder: str):
+    """A task's texts with commas between them as a file of its own; an attempt's file has a name of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, store, size, f = uuid.uuid4().hex, Store(folder), 0, None
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                text = b",".join(batch.column(0).cast(pa.binary()).to_pylist())
+                if f is None:
+                    files = store.fs or fs.LocalFileSystem()
+                    files.create_dir(store.path(), recursive=True)
+                    f = files.open_output_stream(store.path(name), compression="lz4")
+                else:
+                    text = b"," + text
+                f.write(text)
+                size += len(text)
+        finally:
+            if f is not None:
+                f.close()
+        if f is not None:
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name], "size": [size]})
+
+    return run
+
+
+def _copied(folder: str, write):
+    """Hand texts and the files after them on to ``write``, block by block, as (at, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[pa.RecordBatch]:
+            row = lambda at, text: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([text], pa.binary())], ["at", "text"])
+            store = Store(folder)
+            for batch in batches:
+                for at, text, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield row(at, text)
+                    at += len(text)
+                    if name is not None:
+                        with (store.fs or fs.LocalFileSystem()).open_input_stream(store.path(name), compression="lz4") as f:
+                            while raw := f.read(BLOCK):
+                                yield row(at, raw)
+                                at += len(raw)
+
+        yield from write(blocks())
+
+    return run
 
 
 def _at_places(file: str):
@@ -306,13 +364,13 @@ def as_values(df: DataFrame, key: str | None = None) -> DataFrame:
 
 def write_sections(path: str, sections: dict[str, tuple[DataFrame, list[str]]]) -> None:
     """An object of arrays: each section's rows in their order."""
-    pieces: list[bytes | tuple[DataFrame, list[str]]] = []
+    pieces: list[bytes | DataFrame] = []
     for i, (name, (df, order)) in enumerate(sections.items()):
-        pieces += [("{" if i == 0 else "\n],").encode() + json.dumps(name).encode() + b":[", (as_values(df), order)]
+        pieces += [("{" if i == 0 else "\n],").encode() + json.dumps(name).encode() + b":[", as_values(df.orderBy(*order))]
     first = next(iter(sections.values()))[0]
     write_pieces(first.sparkSession, path, [*pieces, b"\n]}"])
 
 
 def write_entries(path: str, df: DataFrame, key: str) -> None:
     """One object of the rows by key, in the order of keys; keys are to be unique and not null."""
-    write_pieces(df.sparkSession, path, [b"{", (as_values(df, key), [key]), b"\n}"])
+    write_pieces(df.sparkSession, path, [b"{", as_values(df.orderBy(key), key), b"\n}"])

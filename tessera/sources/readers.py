@@ -135,9 +135,12 @@ def _coco_kinds() -> dict[str, str]:
 
 
 def coco_ranges(spark: SparkSession, path: str, width: int = json_document.RANGE) -> dict[str, DataFrame]:
-    """As coco, of one document of any size: byte ranges are read by different tasks, its values are stored once."""
-    rows = written(json_document.values(spark, path, 2, width), shared_dir(spark, "document"))
-    own = lambda name: rows.filter(F.col("section") == name).select(F.from_json("value", _coco_kinds()[name]).alias("_v")).select("_v.*")
+    """As coco, of one document of any size: byte ranges are read by different tasks, what they parse is stored once."""
+    kinds = _coco_kinds()
+    found = json_document.values(spark, path, 2, width).filter(F.col("section").isin(*kinds))
+    parsed = found.select("section", *(F.when(F.col("section") == name, F.from_json("value", kind)).alias(name) for name, kind in kinds.items()))
+    rows = written(parsed, shared_dir(spark, "document"))
+    own = lambda name: rows.filter(F.col("section") == name).select(f"{name}.*")
     boxes = own("annotations")
     xywh = [F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x", "y", "w", "h"))]
     return {"images": own("images"), "annotations": boxes.select(*(c for c in boxes.columns if c != "bbox"), *xywh), "categories": own("categories")}

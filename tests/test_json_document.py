@@ -81,3 +81,19 @@ def test_rows_are_written_again_at_the_same_places(tmp_path):
     for _ in range(2):
         list(J._at_places(file)(iter([batch])))
     assert open(file, "rb").read() == b".abc..d."
+
+
+def test_a_long_document_makes_wide_ranges(spark, tmp_path):
+    """Tasks follow the session's partitions, not the document's length; a range that no section can open in is not read for one."""
+    doc = {"first": [{"id": i, "s": '}]"\\' * (i % 3)} for i in range(6000)], "second": {"k": [[i] for i in range(3000)]}}
+    (tmp_path / "d.json").write_text(json.dumps(doc), encoding="utf-8")
+    got = J.values(spark, f"{tmp_path}/d.json", 2, 100)
+    most = J.RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert (tmp_path / "d.json").stat().st_size > 1000 * most and got.rdd.getNumPartitions() <= most
+    assert [(r.section, json.loads(r.value)) for r in got.orderBy("place").collect()] == [("first", x) for x in doc["first"]] + [("second", doc["second"]["k"])]
+    whole, want, scan = (tmp_path / "d.json").read_bytes(), [], J.Scan()
+    for i in range(0, len(whole), 10_000):
+        begin = scan.depth
+        want.append(min([begin, *scan.block(whole[i : i + 10_000])[1].tolist()]))
+    low = [r.low for r in J._entered(J._ranges(spark, len(whole), 10_000), f"{tmp_path}/d.json").orderBy("number").collect()]
+    assert low == want and sum(x < 2 for x in low) <= 3
