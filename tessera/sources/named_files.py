@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
@@ -71,18 +72,18 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[by
 
     def runs() -> Iterator[tuple[str, list[str]]]:
         for batch in batches:
-            file, line = (batch.column(i).to_pylist() for i in (0, 1))
-            start = 0
-            for i in range(1, len(file) + 1):
-                if i == len(file) or file[i] != file[start]:
-                    yield file[start], line[start:i]
-                    start = i
+            if not len(batch):
+                continue
+            file, line, start = pc.run_end_encode(batch.column(0)), batch.column(1).to_pylist(), 0
+            for name, end in zip(file.values.to_pylist(), file.run_ends.to_pylist(), strict=True):
+                yield name, line[start:end]
+                start = end
 
     def own(first: list[str], name: str) -> Iterator[bytes]:
         nonlocal ahead
         lines = first
         while True:
-            yield b"".join(x.encode() + b"\n" for x in lines if x is not None)
+            yield "".join([f"{x}\n" for x in lines if x is not None]).encode()
             ahead = next(rest, None)
             if ahead is None or ahead[0] != name:
                 return

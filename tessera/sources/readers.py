@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,14 +107,15 @@ def image_names(files: DataFrame) -> DataFrame:
 def image_boxes(lines: DataFrame) -> DataFrame:
     """Boxes of (file, line) rows, read by named_files as a batch or a stream: dataset, slug, image and the five numbers.
 
-    Lines that are not five numbers are dropped.
+    Lines that are not five numbers are dropped.  A line is taken apart once: a filter on the numbers as columns would
+    be pushed down and take it apart again for each of them.
     """
-    f, p = F.split(F.regexp_replace("file", r"\.txt$", ""), "/"), F.split(F.trim("line"), r"\s+")
-    num = lambda i: F.try_element_at(p, F.lit(i)).try_cast("double")
-    boxes = lines.select(
-        *(_named(F.try_element_at(f, F.lit(i))).alias(c) for i, c in ((-3, "dataset"), (-2, "slug"), (-1, "image"))), num(1).cast("int").alias("class_id"), num(2).alias("cx"), num(3).alias("cy"), num(4).alias("w"), num(5).alias("h")
-    )
-    return boxes.dropna(subset=["class_id", "cx", "cy", "w", "h"])
+    f = F.split(F.regexp_replace("file", r"\.txt$", ""), "/")
+    num = lambda p, i: F.try_element_at(p, F.lit(i)).try_cast("double")
+    numbers = lambda p: F.struct(num(p, 1).try_cast("int").alias("class_id"), *(num(p, i).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"), 2)))
+    whole = lambda v: v["class_id"].isNotNull() & reduce(and_, (v[c].isNotNull() & ~F.isnan(v[c]) for c in ("cx", "cy", "w", "h")))
+    boxes = F.filter(F.transform(F.array(F.split(F.trim("line"), r"\s+")), numbers), whole)
+    return lines.select(*(_named(F.try_element_at(f, F.lit(i))).alias(c) for i, c in ((-3, "dataset"), (-2, "slug"), (-1, "image"))), F.inline(boxes))
 
 
 def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -101,3 +101,13 @@ def test_files_are_listed_by_a_bounded_number_of_tasks(spark, tmp_path):
     assert sorted(found) == sorted(f"d/s/im {i}.txt" for i in range(50))
     got = readers.image_names(N.list_named(spark, str(tmp_path)))
     assert sorted(map(tuple, got.collect())) == sorted(("d", "s", f"im {i}") for i in range(50))
+
+
+def test_a_line_is_taken_apart_once(spark):
+    lines = spark.createDataFrame([("d/s/i.txt", x) for x in (" 1  0.5\t1 2e0 -3 x", "1.9 0 0 0 0", "1 0 0 0", "a 0 0 0 0", "1 NaN 0 0 0", "NaN 0 0 0 0", "1 Infinity 0 0 0", "", None)], "file string, line string")
+    boxes = readers.image_boxes(lines)
+    assert boxes.dtypes == [("dataset", "string"), ("slug", "string"), ("image", "string"), ("class_id", "int")] + [(c, "double") for c in ("cx", "cy", "w", "h")]
+    got = sorted(tuple(r)[3:] for r in boxes.collect())
+    assert {tuple(r)[:3] for r in boxes.collect()} == {("d", "s", "i")}
+    assert got == [(1, 0, 0, 0, 0), (1, 0.5, 1, 2, -3), (1, float("inf"), 0, 0, 0)]
+    assert boxes._jdf.queryExecution().optimizedPlan().toString().count("split(trim(line") == 1
